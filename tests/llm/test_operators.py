@@ -1,0 +1,379 @@
+"""The training-data operators against plain brute-force versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wavequarry.llm import ann, chat, media, mixing, neardup, packing, pfor, quality, secrets, substring
+from wavequarry.llm.tokens import default_path, encoder
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, extra=False):
+    """A documents table of (doc_id, text, source); with ``extra`` it has columns of names that operators use."""
+    full = [(d, t, "en", s, None if t is None else len(t)) for d, t, s in rows]
+    df = spark.createDataFrame(full, SCHEMA)
+    for name in ("g", "p", "key", "range", "node", "row_key", "size", "score", "row", "words", "tie", "of") if extra else ():
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def sample_rows():
+    rng = random.Random(5)
+    words = ["the", "of", "Ünder", "tower", "1234", "x", "naïve,", "end.", "漢字", "a"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60))), f"s{i % 4}") for i in range(60)]
+    rows += [(100, None, None), (101, "", "s1"), (102, rows[3][1], "s0"), (103, rows[3][1], None), (3, rows[3][1], "s3"), (3, rows[3][1], "s3"), (None, "nobody  owns\n\nthis", "s2"), (None, None, "")]
+    rows += [(104, " ".join(rng.choices(words, k=6000)), "s2"), (105, "z" * 30_000, "s2")]
+    return rows
+
+
+@pytest.fixture(scope="module", params=["rows", "empty"])
+def docs(request, spark):
+    return documents(spark, sample_rows() if request.param == "rows" else [], extra=True)
+
+
+def by_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def whole_ids(text):
+    return np.frombuffer(encoder(default_path()).whole(text or ""), "<u4").tolist() + [0]
+
+
+def test_token_ids(docs):
+    rows = sorted(((d is not None, d or 0, t or "") for d, t, *_ in docs.collect()), key=lambda r: r[:2])
+    got = sorted(pfor.decode_documents(pfor.store_documents(docs, segment_ids=2000)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [d if there else None for there, d, _ in rows]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    want = sorted((there, d, len(ids := whole_ids(t)), zlib.crc32(np.array(ids, "<u4").tobytes())) for there, d, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+def test_blocks_round_trip(n):
+    rng = np.random.default_rng(n)
+    for high in (1, 2, 1000, 2**32):
+        ids = rng.integers(0, high, n, dtype=np.uint64).astype(np.uint32)
+        ids[rng.random(n) < 0.01] = 2**32 - 1
+        starts, payload = pfor.encode_blocks(ids)
+        assert (pfor.decode_blocks(starts, payload, n) == ids).all()
+
+
+def test_encoder_is_the_tokenizer():
+    rng, own = random.Random(3), encoder(default_path())
+    for _ in range(2000):
+        text = "".join(rng.choice([" ", " ", "\n", "a", "Bé", ".", ",", "'s", "1", "\x1d", "漢", "!", "\t", "\x85", "<|endoftext|>"]) for _ in range(rng.randint(0, 25)))
+        assert own.encode(text) == own.whole(text)
+
+
+def test_packing(docs):
+    got = packing.pack_documents(docs, capacity=128).collect()
+    rows = docs.collect()
+    ids_of = defaultdict(list)
+    for r in got:
+        ids_of[r["doc_id"], r["doc_tokens"]].append((r["start"], packing.piece_ids(bytes(r["ids"])).tolist()))
+    assert sum(r["length"] for r in got) == sum(len(whole_ids(r["text"])) for r in rows)
+    for r in rows:
+        want = whole_ids(r["text"])
+        pieces = sorted(ids_of[r["doc_id"], len(want)])
+        copies = sum(1 for x in rows if x["doc_id"] == r["doc_id"] and len(whole_ids(x["text"])) == len(want))
+        assert [i for _, p in pieces for i in p].count(0) == copies * want.count(0)
+    sequences = defaultdict(list)
+    for r in got:
+        assert r["length"] == len(bytes(r["ids"])) // 4 > 0
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 128
+        assert end & (end - 1) == 0 or 128 - end <= packing.MAX_SLACK
+
+
+def test_fill_is_best():
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 4) for _ in range(rng.randint(0, 6))}
+        capacity, sums = rng.randint(0, 60), {0}
+        for n, k in counts.items():
+            sums = {s + n * j for s in sums for j in range(k + 1) if s + n * j <= capacity}
+        chosen = packing.fill(counts, capacity)
+        assert sum(n * k for n, k in chosen.items()) == max(sums)
+        assert all(k <= counts[n] for n, k in chosen.items())
+
+
+def brute_classes(rows):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else {()})
+
+    sets = [shingles(t) for _, t, _ in rows]
+    same = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    linked = [[j for j in range(len(rows)) if j != i and (same[i] == same[j] or (sets[i] != {()} != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    while True:
+        new = [min([root[i], *(root[j] for j in linked[i])]) for i in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    ids = defaultdict(list)
+    for i, r in enumerate(root):
+        ids[r].append(rows[i][0])
+    least = {r: min((x for x in v if x is not None), default=None) for r, v in ids.items()}
+    return sorted(((rows[i][0], least[root[i]], len(linked[i])) for i in range(len(rows))), key=repr)
+
+
+def near_rows():
+    rng = random.Random(9)
+    rows, base = [], [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(40, 160))) for _ in range(12)]
+    for i in range(150):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6])):
+            words[rng.randrange(len(words))] = f"v{rng.randint(0, 99)}"
+        rows.append((i, " ".join(words), "s"))
+    return rows + [(500, None, "s"), (501, "", "s"), (502, "one two", "s"), (503, "one  two", "s"), (None, rows[0][1], "s"), (None, "alone here", "s"), (7, rows[7][1], "s")]
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_near_duplicates(spark, block):
+    rows = near_rows()
+    got = neardup.near_duplicate_classes(documents(spark, rows, extra=True), block=block)
+    assert by_rows(got.select("doc_id", "class_id", "n_links")) == brute_classes(rows)
+
+
+def test_keep_one(spark):
+    rows = near_rows()
+    docs = documents(spark, rows, extra=True)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    classes = {c for _, c, _ in brute_classes(rows)}
+    assert len([r for r in kept.collect() if r["doc_id"] in classes and r["doc_id"] is not None]) == len(classes - {None})
+    assert neardup.keep_one(documents(spark, [])).count() == 0
+
+
+def test_pruning_rules_keep_what_may_pass():
+    for k, needed in neardup.least_matches():
+        assert 0 <= needed <= 0.8 * k
+
+
+ASSIGN = re.compile(r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:w|W)(?:d|D))|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_secrets(text):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(a, b, k) for a, _, b, k in sorted(spans)]
+
+
+def test_secrets_base():
+    rng = random.Random(2)
+    parts = ["password", "PassWd", "token", "secretToken", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "0123456789abcdef", "abcDEF_-.", "AB12CD34EF56GH78", "é", "漢", "ſecret", "toKen", "\n", "AKIAAKIA"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert [s for s in secrets.find_secrets(text) if s[2] in secrets.KINDS[:3]] == brute_secrets(text), text
+
+
+def test_secret_checksums():
+    body = "a1B2" * 7 + "zz"
+    good = f"ghp_{body}{secrets.vendor_checksum(body)}"
+    assert ("vendor" in [k for *_, k in secrets.find_secrets(f"see {good}.")]) and "vendor" not in [k for *_, k in secrets.find_secrets(f"see ghp_{body}000000.")]
+    assert secrets.redact(f"a {good} b token = {good}") == "a [secret] b [secret]"
+
+
+def test_secret_queries(docs):
+    got = by_rows(secrets.scan_documents(docs))
+    assert len(got) == docs.count()
+    for (_, text, *_), row in zip(sorted(docs.collect(), key=lambda r: repr(r["doc_id"])), sorted(got, key=lambda r: repr(r[0])), strict=True):
+        assert row[5] == ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.find_secrets(text or "")) or text is not None
+    clean = secrets.redact_documents(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+
+
+def test_mixing(docs):
+    got = mixing.mix_documents(docs).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight, target, open_ = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order)
+    left = 1.5 * sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * sizes[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+    assert sum(r["taken"] for r in got) == sum(int(t + 1e-9) for t in target.values())
+    assert sorted({(r["source_size"], round(r["target"], 6)) for r in got}) == sorted({(sizes[s], round(target[s], 6)) for s in order})
+    taken = mixing.take_mix(docs)
+    assert taken.columns == docs.columns
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in taken.collect()) == sum(r["taken"] for r in got)
+
+
+def test_mixing_by_ranges_agrees(spark):
+    docs = documents(spark, [(i, "w " * (i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(400)])
+    assert by_rows(mixing.mix_documents(docs, rows=8)) == by_rows(mixing.mix_documents(docs, rows=10_000))
+
+
+def brute_repeats(rows, size=13):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    ids = [2**62 if d is None else d for d, *_ in rows]
+    first = {}
+    for d, w in zip(ids, words, strict=True):
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i : i + size])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for (doc_id, *_), d, w in zip(rows, ids, words, strict=True):
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if first[tuple(w[i : i + size])] < d:
+                gone |= set(range(i, i + size))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def repeat_rows():
+    rng = random.Random(4)
+    passages = [[f"p{k}_{i}" for i in range(rng.randint(10, 30))] for k in range(6)]
+    rows = []
+    for i in range(80):
+        w = []
+        for _ in range(rng.randint(0, 6)):
+            w += rng.choice([rng.choice(passages), [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 30))], ["a"] * rng.randint(1, 20)])
+        rows.append((rng.randint(0, 60), "\t ".join(w), "s"))
+    return rows + [(200, None, "s"), (201, "", "s"), (None, rows[0][1], "s"), (None, rows[1][1], "s"), (202, "b " * 20_000, "s"), (203, "b " * 14, "s")]
+
+
+@pytest.mark.parametrize("chars", [300, 1 << 20])
+def test_substring_dedup(spark, monkeypatch, chars):
+    monkeypatch.setattr(substring, "GROUP_CHARS", chars)
+    monkeypatch.setattr(substring, "GROUP_SUFFIXES", chars // 4)
+    rows = repeat_rows()
+    got = substring.remove_repeats(documents(spark, rows, extra=True)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert by_rows(got) == brute_repeats(rows)
+    assert substring.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_media_round_trip(docs):
+    got = media.read_back(media.store_texts(docs)).collect()
+    rows = docs.collect()
+    want = []
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        want.append((repr(r["doc_id"]), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert sorted((repr(r["doc_id"]), *r[1:5]) for r in got) == sorted(want)
+    assert all(f"frames={r['payload_bytes'] // 576};" in r["feature"] and "wrong=0;skipped=0" in r["feature"] for r in got)
+
+
+def test_mpeg_parser():
+    raw = media.carry(bytes(range(256)) * 9)
+    plain = media.parse_mpeg(raw)
+    assert plain.table["frames"] == len(plain.offsets) == 4 and plain.seconds == 4 * 576 / 16000
+    assert plain.seek(0.04) == plain.offsets[1]
+    # garbage between frames, a broken checksum, a tail tag and a cut last frame
+    cut = plain.offsets[2]
+    damaged = raw[:cut] + b"\xff\xfb junk \xff" + raw[cut : cut + 4] + b"\0\0" + raw[cut + 6 : -5] + b"TAG" + bytes(125)
+    found = media.parse_mpeg(damaged)
+    assert found.wrong == 1 and "TAG" in found.tags and found.skipped > 8 and found.offsets[:2] == plain.offsets[:2]
+    # 44.1 kHz stereo, 128 kbit/s, Layer III: 417 or 418 bytes
+    head = media.read_header(bytes([0xFF, 0xFB, 0x90, 0x00]))
+    assert (head.size, head.samples, head.side, head.rate) == (417, 1152, 32, 44100)
+    assert media.parse_mpeg(b"").header is None and media.describe(media.parse_mpeg(b"\xff" * 99)).startswith("none")
+
+
+def test_chat_round_trip(spark):
+    tricky = ["<|im_end|>", "<", "|im_end|>", "\\", "\\|", "<\\|", "a\n", "é漢", "\\n", "<|im_start|>assistant\nok", ""]
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "sys\ntem", None, "<|x"]), rng.choice([None, "".join(rng.choices(tricky, k=5))])) for c in [*range(30), None] for t in [*range(rng.randint(1, 5)), None, 0]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(df.withColumn("formatted", F.lit(1)))
+    got = {r["conv_id"]: r for r in chat.digest_conversations(turns).collect()}
+    assert len(got) == 31
+    for conv_id, r in got.items():
+        own = [x for x in rows if x[0] == conv_id]
+        parts = [bytes(t["formatted"]) for t in turns.where(F.col("conv_id").eqNullSafe(F.lit(conv_id))).collect()] if conv_id in (None, 3) else []
+        for p in parts:
+            assert p.count(b"<|im_start|>") == 1 == p.count(b"<|im_end|>")
+        assert r["n_turns"] == len(own)
+        assert r["loss_chars"] == sum(len(x[3] or "") for x in own if x[2] == "assistant")
+    one = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|> ok")], "conv_id long, turn long, role string, text string")
+    r = chat.digest_conversations(chat.format_turns(one)).first()
+    assert r["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\n<|im_end|> ok\n").hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256(b"<|im_end|> ok").hexdigest()
+    assert chat.digest_conversations(chat.format_turns(one.limit(0))).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    x[100:400] = x[100]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    rows += [(2000, None, "x"), (2020, [0.0] * 16, "x"), (2040, [float("nan")] * 16, "x"), (2060, [1.0, None] + [0.0] * 14, "x"), (2080, [1.0] * 5, "x"), (None, x[0].tolist(), "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string")
+    got = defaultdict(list)
+    for r in ann.search(df, ratio=9.0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 900, 20))
+    hits = total = 0
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21))
+        s = x @ x[q]
+        s[q] = -np.inf
+        s[100:400] = s[100] if q != 100 else s[101]
+        if 100 <= q < 400:
+            s[q] = -np.inf
+        want = np.lexsort((np.arange(900), -np.round(s, 12)))[:20].tolist()
+        hits += len(set(want) & {f[1] for f in found})
+        total += 20
+        assert all(abs(f[2] - float(x[q] @ x[f[1]])) < 1e-9 for f in found)
+    assert hits / total > 0.99
+    assert ann.search(df.limit(0)).count() == 0
+
+
+def test_recall_and_accuracy(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    x = np.array([r["embedding"] for r in emb.orderBy("vec_id").collect()])
+    found = defaultdict(set)
+    for r in ann.search(emb).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(range(0, len(x), 20))) >= 0.9
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    scored = quality.with_score(docs, model).join(labels, "doc_id").where(quality.held_out()).select("quality", "score").collect()
+    assert sum((s >= quality.THRESHOLD) == q for q, s in scored) / len(scored) > 0.9
+
+
+def test_quality_edges(spark, docs):
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.with_score(docs, quality.train(docs, no_labels), "s").collect()
+    assert {r["s"] for r in got} <= {0.5}
+    odd = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (None, 1, 0), (4, None, 0), (99, 1, 0), (5, 1, None), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality.with_score(docs, quality.train(docs, odd), "s").collect()
+    assert len(got) == docs.count() and all(0 <= r["s"] <= 1 for r in got)
