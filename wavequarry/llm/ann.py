@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,33 @@ LIST_BLOCK, QUERY_BLOCK = 4096, 2048
 
 
 def valid_vectors(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, vec, size): vectors that are neither null nor zero nor hold null or non-finite components."""
-    vec = F.transform(F.col(column), lambda x: x.cast("double"))
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return df.select(F.col(id_column).cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(fine).withColumn("size", F.size("vec"))
+    """(vec_id, size, norm2, vec): vectors that are neither null nor zero nor hold null or non-finite components.
+
+    ``vec`` holds the components as doubles, eight bytes each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            flat = np.asarray(pc.fill_null(lists.flatten(), float("nan")), np.float64)
+            ends = np.cumsum(sizes)
+            fine = np.isfinite(flat)
+            square = np.where(fine, flat, 0) ** 2
+            wrong, total = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in ((~fine).astype(np.int64), (square > 0).astype(np.int64)))
+            keep = np.flatnonzero((wrong == 0) & (total > 0))
+            vecs = [flat[ends[k] - sizes[k] : ends[k]] for k in keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep)), pa.array(sizes[keep], pa.int32()), pa.array([float((v * v).sum()) for v in vecs], pa.float64()), pa.array([v.tobytes() for v in vecs], pa.binary())],
+                ["vec_id", "size", "norm2", "vec"],
+            )
+
+    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vec")).where("vec_id IS NOT NULL")
+    return rows.mapInArrow(run, "vec_id long, size int, norm2 double, vec binary")
+
+
+def _matrix(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist())).reshape(-1, dim)
 
 
 @dataclass
@@ -119,23 +143,29 @@ def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> Lis
     return index
 
 
-def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k largest inner products, ties to the smaller id.
+def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, ids, scores) of the k largest inner products of each query, ties to the smaller id.
 
-    Products are summed in one fixed order, so that equal vectors have equal
-    scores whichever block they stand in.
+    A matrix product finds what may be among them, with a margin above its
+    rounding; those are summed again component by component, so that equal
+    vectors have equal scores whichever block they stand in.
     """
+    longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
     for begin in range(0, len(queries), 256):
-        q = queries[begin : begin + 256]
-        scores = np.zeros((len(q), len(vectors)))
-        for d in range(vectors.shape[1]):
-            scores += q[:, d, None] * vectors[None, :, d]
-        scores[query_ids[begin : begin + 256, None] == ids[None, :]] = -np.inf
+        q, own = queries[begin : begin + 256], query_ids[begin : begin + 256]
+        scores = q @ vectors.T
+        scores[own[:, None] == ids[None, :]] = -np.inf
         least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
-        for row, floor, query_id in zip(scores, least, query_ids[begin : begin + 256].tolist(), strict=True):
-            some = np.flatnonzero((row >= floor) & (row > -np.inf))
-            some = some[np.lexsort((ids[some], -row[some]))[:k]]
-            yield query_id, ids[some], row[some]
+        margin = 1e-12 * longest * np.sqrt((q * q).sum(axis=1))
+        row, at = np.nonzero((scores >= (least - margin)[:, None]) & (scores > -np.inf))
+        exact = np.empty(len(row))
+        for cut in range(0, len(row), 1 << 15):
+            some = slice(cut, cut + (1 << 15))
+            exact[some] = np.cumsum(q[row[some]] * vectors[at[some]], axis=1)[:, -1]
+        order = np.lexsort((ids[at], -exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield own[row[keep]], ids[at[keep]], exact[keep]
 
 
 def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sample: int = SAMPLE, ratio: float = RATIO) -> DataFrame:
@@ -150,40 +180,38 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
     """
     empty = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
-    vectors = valid_vectors(df)
-    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = vectors.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("norm2"))
+    vectors = materialize(valid_vectors(df), "vectors")
+    sizes = vectors.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("norm2"))
     common = sizes.orderBy(F.desc("n"), F.desc("size")).first()
     if common is None:
         return spark.createDataFrame([], empty)
     dim = common["size"]
     vectors = vectors.where(F.col("size") == dim).select("vec_id", "vec")
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
-    fitted = np.array(got.column("vec").combine_chunks().flatten()).reshape(-1, dim)
+    fitted = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow().column("vec"), dim)
     index = fit_lists(fitted, min(n_lists, max(1, common["n"] // 64)), float(np.sqrt(common["norm2"])))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("vec").flatten()).reshape(-1, dim)
+                x = _matrix(batch.column("vec"), dim)
                 lists = index.assign(x)
                 rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
                 where = np.concatenate(lists)
                 for begin in range(0, len(rows), 10_000):
                     part = rows[begin : begin + 10_000]
                     taken = batch.take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(where[begin : begin + 10_000], pa.int32()), taken.column("vec_id"), pa.array([v.tobytes() for v in x[part]], pa.binary())], ["list", "vec_id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(where[begin : begin + 10_000], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["list", "vec_id", "vec"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column("vec").flatten()).reshape(-1, dim)
+                x = _matrix(batch.column("vec"), dim)
                 length = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)
                 aimed = np.hstack([x / length[:, None] * index.norm, np.zeros((len(x), 1))])
                 lists = [index.walk(q, ratio) for q in aimed]
                 rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
                 taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), pa.array([x[r].tobytes() for r in rows], pa.binary())], ["list", "query_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["list", "query_id", "vec"])
 
     posted = materialize(vectors.mapInArrow(place, "list int, vec_id long, vec binary"), "postings")
     routed = materialize(vectors.where(F.col("vec_id") % every == 0).mapInArrow(route, "list int, query_id long, vec binary"), "routes")
@@ -206,14 +234,21 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
     def scan(vecs: pa.Table, queries: pa.Table) -> pa.Table:
         if not vecs.num_rows or not queries.num_rows:
             return hit_schema.empty_table()
-        x = np.frombuffer(b"".join(vecs.column("vec").to_pylist())).reshape(-1, dim)
-        q = np.frombuffer(b"".join(queries.column("vec").to_pylist())).reshape(-1, dim)
+        # equal rows stand in the same lists and blocks: one of them is enough
+        vecs = vecs.group_by(["vec_id", "vec"]).aggregate([])
+        queries = queries.group_by(["query_id", "vec"]).aggregate([])
+        x, q = _matrix(vecs.column("vec"), dim), _matrix(queries.column("vec"), dim)
         ids, query_ids = np.array(vecs.column("vec_id")), np.array(queries.column("query_id"))
         found = list(top_k(q, query_ids, x, ids, k))
-        hits = [[{"back": -s, "vec_id": v} for v, s in zip(v.tolist(), s.tolist(), strict=True)] for _, v, s in found]
-        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array(hits, hit_type)], hit_schema)
+        of, vec_ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        structs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(vec_ids, pa.int64())], ["back", "vec_id"])
+        hits = pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)), pa.int32()), structs)
+        return pa.table([pa.array(of[cut], pa.int64()), hits.cast(hit_type)], hit_schema)
 
     keys = ["list", "b", "qb"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, hits array<struct<back: double, vec_id: long>>")
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k).alias("hits"))
+    # a candidate is in REPLICAS lists at most, so the first k different ones are among these
+    merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k * REPLICAS).alias("hits"))
+    best = merged.select("query_id", F.slice(F.array_distinct("hits"), 1, k).alias("hits"))
     return best.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.back")).alias("score"))
