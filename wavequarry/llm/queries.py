@@ -59,4 +59,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_token_ids, op3_ngram_jaccard, op4_secrets, op5_mixing, op6_substring_dedup, op7_packing, op8_media, op9_chat, op10_nearest)}
 
-ORACLE_SQL = {"op5_mixing": mixing.mix_sql(), "op9_chat": chat.CHAT_SQL}
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM starts),
+least AS (SELECT k, min(doc_id) AS d FROM windows GROUP BY k),
+hits AS (SELECT v.doc_id, i FROM windows v JOIN least USING (k) WHERE d < v.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hits, range(13) AS r(j)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (
+  SELECT words.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS kept
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_mixing": mixing.mix_sql(), "op6_substring_dedup": SUBSTRING_SQL, "op9_chat": chat.CHAT_SQL}
