@@ -12,7 +12,7 @@ import __spark_entry__
 from wavequarry.functions import adpcm, samples, spec
 from wavequarry.operators import metadata, waveform
 from wavequarry.plans import catalogue
-from wavequarry.sources import codecs, riff, wav
+from wavequarry.sources import codecs, flac, riff, wav
 from wavequarry.streaming.codecs import yamaha_decode_stream
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +136,25 @@ def test_scale_matches_numpy(spark):
         assert got == codecs.convert(np.array([-2.0, -1.0, -0.3, 0.0, 0.7, 1.0, 9.0]), "f64", target).tolist(), target
 
 
+@pytest.mark.parametrize("channels", [1, 2, 5])
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_flac(channels, bits):
+    rng = np.random.default_rng(bits)
+    low, high = -(1 << bits - 1), (1 << bits - 1) - 1
+    tone = (np.sin(np.arange(5000) / 20)[:, None] * high * 0.5).astype(np.int64) + rng.integers(-3, 4, (5000, channels))
+    for x in (tone, rng.integers(low, high, (4097, channels), endpoint=True), np.full((10, channels), low), np.array([[high] * channels]), np.zeros((0, channels), np.int64)):
+        raw = flac.encode(x, 44100, bits)
+        got, info = flac.decode(raw)
+        assert (got == x).all() and got.shape == x.shape and info["rate"] == 44100 and info["frames"] == len(x)
+    assert len(flac.encode(tone, 44100, bits)) < tone.size * bits // 8
+    raw = flac.encode(tone, 44100, bits)
+    with pytest.raises(ValueError):
+        flac.decode(raw[:-40] + bytes([raw[-40] ^ 1]) + raw[-39:])
+    assert [flac._number(n) for n in (0, 127, 128, 2047, 2048, 65535, 65536)] == [chr(n).encode() for n in (0, 127, 128, 2047, 2048)] + [b"\xef\xbf\xbf", chr(65536).encode()]
+    h = riff.from_bytes(file := codecs.encode_file(x := tone, "i8" if bits == 8 else f"i{bits}", "flac", 8000, bits=bits))
+    assert (codecs.decode("flac", file[h.data.offset : h.data.offset + h.data.size], h.fmt, f"i{bits}") == x).all()
+
+
 def test_unavailable_codec():
     with pytest.raises(codecs.CodecUnavailable):
         codecs.decode("mp3", b"", {}, "f32")

@@ -44,6 +44,11 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The waveforms dealt to all cores: a small file is one task, and coding a sample takes long."""
+    return waves(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "vec_id")
+
+
 def i16(values: Column | str = "embedding") -> Column:
     return samples.scale_all(F.col(values) if isinstance(values, str) else values, "f32", "i16")
 
@@ -110,7 +115,7 @@ def _stored(spark: SparkSession, sf_dir: str, codec: str, channels: int = 1) ->
     wav.register(spark)
     folder = scratch(spark)
     content = wav.content_column(F.col("embedding"), channels, "f32", codec, 8000)
-    waves(spark, sf_dir).select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), content.alias("content")).write.format("wav").mode("append").save(folder)
+    spread(spark, sf_dir).select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), content.alias("content")).write.format("wav").mode("append").save(folder)
     return folder
 
 
@@ -167,6 +172,13 @@ def frame_slice(spark, sf_dir):
     return frames.select("vec_id", "frame_idx", F.col("samples")[0].cast("long").alias("l"), F.col("samples")[1].cast("long").alias("r"))
 
 
+@query("WITH src AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 2147483647) AS BIGINT) >> 16) AS xs FROM embeddings) SELECT vec_id, 64 AS n, CAST(list_sum(xs) * 65536 AS BIGINT) AS total FROM src")
+def flac_roundtrip(spark, sf_dir):
+    """FLAC files of 16 bits read back in the 32-bit range."""
+    frames = _read(spark, _stored(spark, sf_dir, "flac"), "frames", sampletype="i32")
+    return frames.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("samples")[0].cast("long")).alias("total"))
+
+
 @query()
 def adpcm_files(spark, sf_dir):
     """IMA, MS and Yamaha files read back: frames by codec and file."""
@@ -178,7 +190,7 @@ def adpcm_files(spark, sf_dir):
 def transcode_summary(spark, sf_dir):
     """Files at 8 kHz resampled to 16 kHz and stored as mu-law: frames and level of each."""
     content = wav.content_column(F.col("embedding"), 1, "f32", "f32", 8000)
-    coded = waveform.transcode(waves(spark, sf_dir).select("vec_id", content.alias("content")), "mulaw", 8000, 16000, "vec_id")
+    coded = waveform.transcode(spread(spark, sf_dir).select("vec_id", content.alias("content")), "mulaw", 8000, 16000, "vec_id")
     level = waveform.decode_contents(coded.select("vec_id", "content"), "f64", "vec_id")
     return level.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("samples")[0], 2))), 3).alias("level"))
 
@@ -189,7 +201,7 @@ def transcode_loss(spark, sf_dir):
     parts = []
     for codec in ("alaw", "mulaw", "ms", "yamaha"):
         content = wav.content_column(F.col("embedding"), 1, "f32", codec, 8000)
-        back = waveform.decode_contents(waves(spark, sf_dir).select("vec_id", content.alias("content")), "f32", "vec_id")
+        back = waveform.decode_contents(spread(spark, sf_dir).select("vec_id", content.alias("content")), "f32", "vec_id")
         told = each(waves(spark, sf_dir), F.col("embedding"), "x", "double")
         both = back.join(told, (back["vec_id"] == told["vec_id"]) & (F.col("frame_idx") == F.col("pos")))
         noise = F.sum(F.pow(F.col("x") - F.col("samples")[0], 2))

@@ -13,7 +13,7 @@ import numpy as np
 
 from wavequarry.functions import adpcm
 
-from . import riff
+from . import flac, riff
 
 
 class CodecUnavailable(NotImplementedError):
@@ -21,8 +21,8 @@ class CodecUnavailable(NotImplementedError):
 
 
 _DTYPES = {"u8": "u1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "f32": "<f4", "f64": "<f8"}
-TAGS = {"u8": 1, "i16": 1, "i24": 1, "i32": 1, "i64": 1, "f32": 3, "f64": 3, "alaw": 6, "mulaw": 7, "ms": 2, "ima": 0x11, "yamaha": 0x20}
-BITS = {"u8": 8, "i16": 16, "i24": 24, "i32": 32, "i64": 64, "f32": 32, "f64": 64, "alaw": 8, "mulaw": 8, "ms": 4, "ima": 4, "yamaha": 4}
+TAGS = {"u8": 1, "i16": 1, "i24": 1, "i32": 1, "i64": 1, "f32": 3, "f64": 3, "alaw": 6, "mulaw": 7, "ms": 2, "ima": 0x11, "yamaha": 0x20, "flac": 0xF1AC}
+BITS = {"u8": 8, "i16": 16, "i24": 24, "i32": 32, "i64": 64, "f32": 32, "f64": 64, "alaw": 8, "mulaw": 8, "ms": 4, "ima": 4, "yamaha": 4, "flac": 16}
 
 
 def _range(kind: str) -> tuple[int, int]:
@@ -111,18 +111,25 @@ def _rows(frames, channels: int) -> np.ndarray:
     return np.array(list(frames), np.int16).reshape(-1, channels)
 
 
+def _flac(data: bytes, fmt: dict) -> np.ndarray:
+    """Samples in the 32-bit range, whatever the stream's size is."""
+    x, info = flac.decode(data)
+    return x << 32 - info["bits"]
+
+
 DECODERS: dict[str, Callable[[bytes, dict], np.ndarray]] = {
     **{k: _pcm(k) for k in ("u8", "i16", "i24", "i32", "i64", "f32", "f64")},
     "mulaw": _xlaw(MULAW), "alaw": _xlaw(ALAW),
     "ima": lambda data, fmt: _rows(adpcm.decode_ima(data, fmt["channels"], fmt["block_align"]), fmt["channels"]),
     "ms": lambda data, fmt: _rows(adpcm.decode_ms(data, fmt["channels"], fmt["block_align"]), fmt["channels"]),
+    "flac": _flac,
     "yamaha": lambda data, fmt: _rows(adpcm.decode_yamaha(data, fmt["channels"]), fmt["channels"]),
 }
 
 
 def native_type(kind: str) -> str:
     """The sample type that a codec decodes to."""
-    return kind if kind in _DTYPES or kind == "i24" else "i16"
+    return kind if kind in _DTYPES or kind == "i24" else "i32" if kind == "flac" else "i16"
 
 
 def block_bytes_and_frames(kind: str, fmt: dict) -> tuple[int, int]:
@@ -134,7 +141,7 @@ def block_bytes_and_frames(kind: str, fmt: dict) -> tuple[int, int]:
         return align, (align // channels - 7) * 2 + 2
     if kind in ("alaw", "mulaw"):
         return channels, 1
-    return (0, 0) if kind not in DECODERS or kind == "yamaha" else (channels * (BITS[kind] // 8), 1)
+    return (0, 0) if kind not in DECODERS or kind in ("yamaha", "flac") else (channels * (BITS[kind] // 8), 1)
 
 
 def total_frames(kind: str, fmt: dict, n_bytes: int) -> int:
@@ -169,13 +176,13 @@ def pcm_bytes(x: np.ndarray, kind: str) -> bytes:
     return x.astype(_DTYPES[kind]).tobytes()
 
 
-def encode_file(frames: np.ndarray, source: str, codec: str, rate: int, channel_mask: int = 0, meta: dict | None = None, riff_mode: str = "never") -> bytes:
-    """A whole file of (frames, channels) samples of type ``source`` in ``codec``."""
+def encode_file(frames: np.ndarray, source: str, codec: str, rate: int, channel_mask: int = 0, meta: dict | None = None, riff_mode: str = "never", bits: int | None = None) -> bytes:
+    """A whole file of (frames, channels) samples of type ``source`` in ``codec``; ``bits`` is for FLAC (16 if not given)."""
     if codec not in TAGS:
         raise CodecUnavailable(f"no encoder for {codec} is registered")
     n, channels = frames.shape
     pcm = codec in ("u8", "i16", "i24", "i32", "i64", "f32", "f64")
-    if channels < 1 or channels > (18 if pcm else 2):
+    if channels < 1 or channels > (18 if pcm else flac.MAX_CHANNELS if codec == "flac" else 2):
         raise ValueError(f"{codec} holds no {channels} channels")
     if pcm and not (channel_mask and bin(channel_mask).count("1") != channels):
         data, size = pcm_bytes(convert(frames, source, codec), codec), BITS[codec] // 8
@@ -186,6 +193,11 @@ def encode_file(frames: np.ndarray, source: str, codec: str, rate: int, channel_
         return riff.container_bytes(fmt, data, None if tag == 1 else n * channels, meta, riff_mode)
     if pcm:
         raise ValueError("the channel mask does not fit the channels")
+    if codec == "flac":
+        bits = bits or 16
+        data = flac.encode(convert(frames, source, "i32") >> 32 - bits, rate, bits)
+        fmt = riff.fmt_bytes(0xF1AC, channels, rate, max(1, len(data) * rate // max(1, n)), 1, bits, b"")
+        return riff.container_bytes(fmt, data, n * channels, meta, riff_mode)
     x = convert(frames, source, "i16")
     if codec in ("alaw", "mulaw"):
         data = (alaw_codes if codec == "alaw" else mulaw_codes)(x).tobytes()

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from wavequarry.functions.samples import SPARK_TYPES
 
-from . import codecs, riff
+from . import codecs, flac, riff
 
 SPLIT_BYTES = 64 << 20
 BLOCK_FRAMES = 4096
@@ -148,7 +148,7 @@ class WavReader(DataSourceReader):
         smpl = m.get("smpl")
         if smpl:
             smpl = (*[v for k, v in smpl.items() if k != "loops"], [tuple(x.values()) for x in smpl["loops"]])
-        total = codecs.total_frames(kind, f, h.data.size)
+        total = flac.stream_info(fetch(h.data.offset, min(42, h.data.size)))["frames"] if kind == "flac" else codecs.total_frames(kind, f, h.data.size)
         yield (path, h.container, length, spec, fmt, h.fact, h.data.offset, h.data.size, total, m.get("slnt"), bext, struct_of("inst"), struct_of("acid"), struct_of("trkn"), smpl, m.get("axml"), m.get("ixml"), m.get("id3"), m["info"], h.corrupt)
 
     def _chunks(self, path, length, h, fetch, split):
