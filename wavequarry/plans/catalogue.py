@@ -142,7 +142,7 @@ for _kind in ("u8", "i16", "i24", "i32", "f32"):
     )(_roundtrip(_kind))
 
 
-@query("SELECT vec_id, 'RIFF' AS container, 2 AS channels, 8000 AS sample_rate, 16 AS bits, 32 AS total_frames, 128 AS data_length FROM embeddings")
+@query("SELECT vec_id, 'RIFF' AS container, 2 AS channels, CAST(8000 AS BIGINT) AS sample_rate, 16 AS bits, CAST(32 AS BIGINT) AS total_frames, CAST(128 AS BIGINT) AS data_length FROM embeddings")
 def wav_files(spark, sf_dir):
     files = _read(spark, _stored(spark, sf_dir, "i16", 2), "files")
     return files.select("vec_id", "container", F.col("spec.channels").alias("channels"), F.col("spec.sample_rate").alias("sample_rate"), F.col("spec.bits_per_sample").alias("bits"), "total_frames", "data_length")
@@ -154,7 +154,7 @@ def wav_chunks(spark, sf_dir):
     return chunks.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("SELECT vec_id, 0 AS block_idx, 0 AS first_frame, 64 AS n_frames, 128 AS bytes FROM embeddings")
+@query("SELECT vec_id, CAST(0 AS BIGINT) AS block_idx, CAST(0 AS BIGINT) AS first_frame, 64 AS n_frames, 128 AS bytes FROM embeddings")
 def wav_blocks(spark, sf_dir):
     return _read(spark, _stored(spark, sf_dir, "i16"), "blocks").select("vec_id", "block_idx", "first_frame", "n_frames", F.octet_length("payload").alias("bytes"))
 
@@ -172,7 +172,7 @@ def frame_slice(spark, sf_dir):
     return frames.select("vec_id", "frame_idx", F.col("samples")[0].cast("long").alias("l"), F.col("samples")[1].cast("long").alias("r"))
 
 
-@query("WITH src AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 2147483647) AS BIGINT) >> 16) AS xs FROM embeddings) SELECT vec_id, 64 AS n, CAST(list_sum(xs) * 65536 AS BIGINT) AS total FROM src")
+@query("WITH src AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 2147483647) AS BIGINT) >> 16) AS xs FROM embeddings) SELECT vec_id, CAST(64 AS BIGINT) AS n, CAST(list_sum(xs) * 65536 AS BIGINT) AS total FROM src")
 def flac_roundtrip(spark, sf_dir):
     """FLAC files of 16 bits read back in the 32-bit range."""
     frames = _read(spark, _stored(spark, sf_dir, "flac"), "frames", sampletype="i32")
@@ -251,7 +251,7 @@ def mono_int_mean(spark, sf_dir):
     return _frames4(spark, sf_dir, samples.integer_mean)
 
 
-@query(f"WITH {_SRC} SELECT vec_id, CAST(i AS BIGINT) AS frame_idx, round(xs[4 * i + 1] + {waveform.SIDE} * xs[4 * i + 3], 6) AS l, round(xs[4 * i + 2] + {waveform.SIDE} * xs[4 * i + 4], 6) AS r FROM src, range(16) AS g(i)")
+@query(f"WITH {_SRC} SELECT vec_id, CAST(i AS BIGINT) AS frame_idx, round(xs[4 * i + 1] + CAST({waveform.SIDE} AS DOUBLE) * xs[4 * i + 3], 6) AS l, round(xs[4 * i + 2] + CAST({waveform.SIDE} AS DOUBLE) * xs[4 * i + 4], 6) AS r FROM src, range(16) AS g(i)")
 def downmix_matrix(spark, sf_dir):
     mixed = _frames4(spark, sf_dir, lambda f: samples.downmix(f, waveform.gain_column(0x33)))
     return mixed.select("vec_id", "frame_idx", F.round(F.col("mono")[0], 6).alias("l"), F.round(F.col("mono")[1], 6).alias("r"))
@@ -408,7 +408,7 @@ def spec_math(spark, sf_dir):
     )
 
 
-@query(f"WITH {_SPEC} SELECT k, rate, channels, CAST(CASE WHEN rate >= 44100 THEN [64000, 48000][channels] WHEN rate = 22050 THEN [56000, 36000][channels] WHEN rate = 11025 THEN [36000, 22000][channels] END AS INTEGER) AS bitrate FROM spec WHERE channels <= 2")
+@query(f"WITH {_SPEC} SELECT k, rate, CAST(channels AS INTEGER) AS channels, CAST(CASE WHEN rate >= 44100 THEN [64000, 48000][channels] WHEN rate = 22050 THEN [56000, 36000][channels] WHEN rate = 11025 THEN [36000, 22000][channels] END AS INTEGER) AS bitrate FROM spec WHERE channels <= 2")
 def vorbis_bitrate(spark, sf_dir):
     return _spec(spark, sf_dir).where("channels <= 2").select("k", "rate", "channels", spec.vorbis_bitrate(F.col("rate"), F.col("channels"), F.lit(0.0)).alias("bitrate"))
 
@@ -485,7 +485,7 @@ def country_lookup(spark, sf_dir):
 _LANGUAGE = "CASE " + " ".join(f"WHEN l = {a} AND d = {b} THEN '{v}'" for (a, b), v in metadata.LANGUAGES.items()) + " ELSE 'Unknown' END"
 
 
-@query(f"WITH t AS (SELECT c_custkey AS k, c_custkey % 40 AS l, c_custkey % 3 AS d FROM customer) SELECT k, l AS language, d AS dialect, {_LANGUAGE} AS language_name FROM t")
+@query(f"WITH t AS (SELECT c_custkey AS k, c_custkey % 40 AS l, c_custkey % 3 AS d FROM customer) SELECT k, CAST(l AS INTEGER) AS language, CAST(d AS INTEGER) AS dialect, {_LANGUAGE} AS language_name FROM t")
 def language_lookup(spark, sf_dir):
     k = F.col("c_custkey")
     return metadata.with_language(table(spark, sf_dir, "customer").select(k.alias("k"), (k % 40).cast("int").alias("language"), (k % 3).cast("int").alias("dialect")))
@@ -513,7 +513,7 @@ def _cue_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query(
     "WITH cue AS (SELECT l_orderkey AS path, l_partkey AS id, CAST(max(CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey) AS BIGINT) AS start_sample FROM lineitem GROUP BY ALL), "
-    "j AS (SELECT c.*, p_name, p_size, p_size AS code, p_size % 35 AS l, 1 AS d, p_size % 2 = 0 AS t, coalesce(o_custkey, 0) AS num_samples, CASE WHEN o_custkey IS NULL THEN 0 ELSE 2 END AS repeats "
+    "j AS (SELECT c.*, p_name, p_size, p_size AS code, p_size % 35 AS l, 1 AS d, p_size % 2 = 0 AS t, coalesce(o_custkey, 0) AS num_samples, CAST(CASE WHEN o_custkey IS NULL THEN 0 ELSE 2 END AS BIGINT) AS repeats "
     "FROM cue c JOIN part ON id = p_partkey LEFT JOIN orders ON path = o_orderkey AND o_orderkey % 2 = 0) "
     f"SELECT path, id AS cue_point_id, CASE WHEN t THEN '' ELSE p_name END AS label, CAST(p_size AS BIGINT) AS sample_length, CASE WHEN t THEN {_COUNTRY} ELSE '' END AS country, "
     f"CASE WHEN t THEN {_LANGUAGE} ELSE '' END AS language, CASE WHEN t THEN p_name ELSE '' END AS text_data, start_sample, num_samples, repeats FROM j"
