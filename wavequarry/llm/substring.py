@@ -1,17 +1,21 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
 The suffixes of all texts begin at their words.  A suffix belongs to the
-subtree of its hashed word prefix; prefixes are dealt to groups that fit in
-memory.  Subtrees need no more depth than one window, so a node at that depth
-is a fingerprint of the window's path, and a node with suffixes of several
-documents is a repeat.  Trees grow in two steps: first every suffix enters
-with a short fingerprint, once for each group of documents; those at nodes
-that repeat enter again with a long one and the smallest document.  Answers
-come back as one bit for each node that a group of documents had sent.
+subtree of its word prefix, whose length varies: one pass counts the suffixes
+below hashed prefixes of the first length, and prefixes that hold too many are
+split by the next length, down to a whole window.  Prefixes are dealt to
+groups that fit in memory.  Subtrees need no more depth than one window, so a
+node at that depth is a fingerprint of the window's path, and a node with
+suffixes of several documents is a repeat.  Trees grow in two steps: first
+every suffix enters with a short fingerprint, once for each group of
+documents; those at nodes that repeat enter again with a long one and the
+smallest document.  Answers come back as one bit for each node that a group
+of documents had sent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -19,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text
-from .words import TextBlock
+from .common import cut_batches, full_text
+from .words import TextBlock, window_hashes
 
 WINDOW = 13
-#: Words of the prefix that deals suffixes to subtrees.
-PREFIX = 4
+#: Words of a prefix, shortest first; a crowded one is split by the next length, the last by the window itself.
+PREFIXES = (4, 7, 10)
+#: Counters of hashed prefixes at each length, at least and at most.
+COUNTERS = (1 << 12, 1 << 20)
 #: Characters of a group of documents, and suffixes of a group of prefixes, about.
 GROUP_CHARS = 6 << 20
 GROUP_SUFFIXES = 1 << 20
@@ -34,20 +40,62 @@ NODE_SCHEMA = "p long, g long, n long, short binary, many binary, low binary, hi
 REPLY_SCHEMA = "g long, step int, p long, bits binary"
 
 
+def _deal(words: np.ndarray, at: np.ndarray, prefixes: int, crowded: list[np.ndarray]) -> np.ndarray:
+    """The group of each suffix, by its shortest prefix that is not crowded."""
+    p, open_ = np.empty(len(at), np.int64), np.arange(len(at))
+    for size, full in zip((*PREFIXES, WINDOW), (*crowded, None), strict=True):
+        hashed = window_hashes(words, size, seed=2)[at[open_]] if len(open_) else np.zeros(0, np.uint64)
+        p[open_] = (hashed % np.uint64(prefixes)).astype(np.int64)
+        if full is None or not full.any():
+            break
+        open_ = open_[full[_counter(hashed, len(full))]]
+    return p
+
+
+def _counter(hashed: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of a prefix: high bits, as the low ones choose the group."""
+    return (hashed >> np.uint64(40)).astype(np.int64) & (counters - 1)
+
+
+def _crowded_prefixes(texts: DataFrame, counters: int, most: int) -> list[np.ndarray]:
+    """For each length, which counters of prefixes hold over ``most`` suffixes.
+
+    Tasks count into arrays of fixed size; Spark sums them, and only the
+    numbers of the crowded counters come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(PREFIXES), counters), np.int64)
+        for batch in cut_batches(batches, "text", 2 << 20):
+            block = TextBlock([t.as_buffer().to_pybytes() for t in batch.column("text")])
+            at, _ = block.windows(WINDOW)
+            for level, size in enumerate(PREFIXES):
+                if len(at):
+                    held[level] += np.bincount(_counter(window_hashes(block.words, size, seed=2)[at], counters), minlength=counters)
+        level, counter = np.nonzero(held)
+        for a in range(0, len(level), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            columns = [pa.array(level[some], pa.int32()), pa.array(counter[some], pa.int32()), pa.array(held[level[some], counter[some]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["level", "counter", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "level int, counter int, n long").groupBy("level", "counter").agg(F.sum("n").alias("n"))
+    out = [np.zeros(counters, bool) for _ in PREFIXES]
+    for r in counted.where(F.col("n") > most).select("level", "counter").toLocalIterator():
+        out[r["level"]][r["counter"]] = True
+    return out
+
+
 class _Group:
     """The windows of one group of documents."""
 
-    def __init__(self, table: pa.Table, prefixes: int):
+    def __init__(self, table: pa.Table, prefixes: int, crowded: list[np.ndarray]):
         self.doc_ids = table.column("doc_id").to_pylist()
         self.raw = [t.as_buffer().to_pybytes() for chunk in table.column("text").chunks for t in chunk]
         ids = np.array([LAST if d is None else d for d in self.doc_ids], np.int64)
         self.block = TextBlock(self.raw)
         self.at, self.low = self.block.windows(WINDOW, seed=1)
-        _, prefix = self.block.windows(PREFIX, seed=2)
-        where, _ = self.block.windows(PREFIX, seed=2)
         self.owner = ids[self.block.text_of[self.at]]
-        prefix = prefix[np.searchsorted(where, self.at)]
-        self.p = (prefix % np.uint64(prefixes)).astype(np.int64)
+        self.p = _deal(self.block.words, self.at, prefixes, crowded)
         key = (self.p.astype(np.uint64) << np.uint64(32)) | (self.low >> np.uint64(32))
         self.key, self.node = np.unique(key, return_inverse=True)
 
@@ -74,8 +122,8 @@ class _Group:
                 flag[a:b] = np.unpackbits(np.frombuffer(replies[int(p)], np.uint8), count=int(b - a))
         keep = flag[self.node]
         self.at, self.low, self.owner, self.p = self.at[keep], self.low[keep], self.owner[keep], self.p[keep]
-        every, high = self.block.windows(WINDOW, seed=3)
-        self.high = (high[np.searchsorted(every, self.at)] >> np.uint64(32)).astype(np.uint32) if len(self.at) else np.zeros(0, np.uint32)
+        high = window_hashes(self.block.words, WINDOW, seed=3)[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.high = (high >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((self.owner, self.high, self.low, self.p))
         p, low, high = self.p[order], self.low[order], self.high[order]
         new = np.ones(len(order), bool)
@@ -179,17 +227,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     prefixes = max(1, min((1 << 31) - 1, -(-size // (6 * GROUP_SUFFIXES))))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (64 * prefixes - 1).bit_length()))
+    # a prefix of over a quarter of a group is crowded; a counter's usual load, shared by many prefixes, is not
+    crowded = _crowded_prefixes(dealt, counters, max(GROUP_SUFFIXES // 4, 4 * size // (6 * counters)))
 
     def key_of(table: pa.Table) -> int:
         return table.column("g")[0].as_py()
 
     def send_short(table: pa.Table) -> pa.Table:
-        return _table(_Group(table, prefixes).short_nodes(key_of(table)), _NODES)
+        return _table(_Group(table, prefixes, crowded).short_nodes(key_of(table)), _NODES)
 
     def send_long(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return _table([], _NODES)
-        group = _Group(table, prefixes)
+        group = _Group(table, prefixes, crowded)
         group.repeated(_by_step(replies, 1))
         return _table(group.long_nodes(key_of(table)), _NODES)
 
@@ -198,7 +249,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return _table([], schema)
         if replies.num_rows:
-            group = _Group(table, prefixes)
+            group = _Group(table, prefixes, crowded)
             group.repeated(_by_step(replies, 1))
             raw, masks = group.raw, group.removed(_by_step(replies, 2))
         else:
