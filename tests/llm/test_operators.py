@@ -278,7 +278,7 @@ def test_crowded_prefixes_are_split(spark):
     rng = random.Random(6)
     texts = [" ".join(["a b c d", *(f"u{rng.randint(0, 10**6)}" for _ in range(12))]) for _ in range(300)]
     texts += [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(100)] + texts[:5]
-    full = substring._crowded_prefixes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), 1 << 12, 200)
+    full = substring._crowded_prefixes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), 1 << 13, 200)
     assert [int(x.sum()) for x in full] == [1, 0, 0]
     block = substring.TextBlock([t.encode() for t in texts])
     at, path = block.windows(substring.WINDOW)
@@ -286,7 +286,7 @@ def test_crowded_prefixes_are_split(spark):
     shared = np.isin(at, block.first[:300])
     assert len(np.unique(p[shared])) > 30
     assert all(len(np.unique(p[path == k])) == 1 for k in path[shared])
-    assert len(np.unique(substring._deal(block.words, at, 50, [np.zeros(1 << 12, bool)] * 3)[shared])) == 1
+    assert len(np.unique(substring._deal(block.words, at, 50, [np.zeros(1 << 13, bool)] * 3)[shared])) == 1
 
 
 def test_media_round_trip(docs):

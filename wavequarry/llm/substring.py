@@ -20,6 +20,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from .words import TextBlock, window_hashes
 WINDOW = 13
 #: Words of a prefix, shortest first; a crowded one is split by the next length, the last by the window itself.
 PREFIXES = (4, 7, 10)
-#: Counters of hashed prefixes at each length, at least and at most.
-COUNTERS = (1 << 12, 1 << 20)
+#: Counters of hashed prefixes at each length: the least, which do up to about 6 TB of text, and the most.
+COUNTERS = (1 << 16, 1 << 20)
+#: Counters in one row, and tasks whose rows are summed first.
+CHUNK, FAN_IN = 1 << 12, 1 << 10
 #: Characters of a group of documents, and suffixes of a group of prefixes, about.
 GROUP_CHARS = 6 << 20
 GROUP_SUFFIXES = 1 << 20
@@ -60,9 +63,11 @@ def _counter(hashed: np.ndarray, counters: int) -> np.ndarray:
 def _crowded_prefixes(texts: DataFrame, counters: int, most: int) -> list[np.ndarray]:
     """For each length, which counters of prefixes hold over ``most`` suffixes.
 
-    Tasks count into arrays of fixed size; Spark sums them, and only the
-    numbers of the crowded counters come to the driver.
+    Tasks count into arrays of fixed size and send them in chunks, which are
+    summed in two steps, so that a step reads few even if tasks are many; only
+    the numbers of the crowded counters come to the driver.
     """
+    schema = pa.schema([("level", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((len(PREFIXES), counters), np.int64)
@@ -72,15 +77,25 @@ def _crowded_prefixes(texts: DataFrame, counters: int, most: int) -> list[np.nda
             for level, size in enumerate(PREFIXES):
                 if len(at):
                     held[level] += np.bincount(_counter(window_hashes(block.words, size, seed=2)[at], counters), minlength=counters)
-        level, counter = np.nonzero(held)
-        for a in range(0, len(level), 1 << 16):
-            some = slice(a, a + (1 << 16))
-            columns = [pa.array(level[some], pa.int32()), pa.array(counter[some], pa.int32()), pa.array(held[level[some], counter[some]], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["level", "counter", "n"])
+        part = TaskContext.get().partitionId() // FAN_IN
+        chunks = [(level, c // CHUNK, part, held[level, c : c + CHUNK]) for level in range(len(PREFIXES)) for c in range(0, counters, CHUNK)]
+        rows = [(level, chunk, part, n.astype("<i8").tobytes()) for level, chunk, part, n in chunks if n.any()]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    counted = texts.select("text").mapInArrow(count, "level int, counter int, n long").groupBy("level", "counter").agg(F.sum("n").alias("n"))
+    def total(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8").reshape(table.num_rows, -1).sum(axis=0)
+
+    def add(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).set_column(3, "counts", pa.array([total(table).tobytes()], pa.binary()))
+
+    def choose(table: pa.Table) -> pa.Table:
+        counter = np.flatnonzero(total(table) > most) + table.column("chunk")[0].as_py() * CHUNK
+        return pa.table({"level": pa.array([table.column("level")[0].as_py()] * len(counter), pa.int32()), "counter": pa.array(counter, pa.int32())})
+
+    kind = "level int, chunk int, part int, counts binary"
+    added = texts.select("text").mapInArrow(count, kind).groupBy("level", "chunk", "part").applyInArrow(add, kind)
     out = [np.zeros(counters, bool) for _ in PREFIXES]
-    for r in counted.where(F.col("n") > most).select("level", "counter").toLocalIterator():
+    for r in added.groupBy("level", "chunk").applyInArrow(choose, "level int, counter int").toLocalIterator():
         out[r["level"]][r["counter"]] = True
     return out
 
@@ -227,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     prefixes = max(1, min((1 << 31) - 1, -(-size // (6 * GROUP_SUFFIXES))))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (64 * prefixes - 1).bit_length()))
+    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (prefixes // 16).bit_length()))
     # a prefix of over a quarter of a group is crowded; a counter's usual load, shared by many prefixes, is not
     crowded = _crowded_prefixes(dealt, counters, max(GROUP_SUFFIXES // 4, 4 * size // (6 * counters)))
 
