@@ -3,9 +3,10 @@
 The ids are those of the tokenizers library.  A byte-level vocabulary never
 joins a piece across a space that stands between two other characters, so a
 text is cut at such spaces and each cut is encoded once per worker: its bytes
-are kept in a bounded two-generation cache.  A cut made of letters with an
-optional mark behind it goes straight to the library's merge model; every
-other cut goes through the whole tokenizer.
+are kept in a bounded two-generation cache.  A cut made of words of letters on
+lines of their own, each with optional marks behind it, goes word by word
+straight to the library's merge model; every other cut goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 #: White space next to a space: there the cuts on both sides stay joined.
 _TWO_SPACES = re.compile(r"\s\s")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?")
 
 
 def default_path() -> str:
@@ -33,39 +34,43 @@ def _byte_alphabet() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class _Cuts(dict):
-    """Cut -> bytes of its ids, the cut having a space before it."""
+class _Cache(dict):
+    """Key -> bytes of ids; two generations of about ``limit`` keys."""
 
-    def __init__(self, encoder: TextEncoder):
+    def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.encoder = encoder
+        self.make, self.limit = make, limit
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, cut: str) -> bytes:
-        found = self.older.get(cut)
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
         if found is None:
-            found = self.encoder.encode_cut(cut)
-        self[cut] = found
+            found = self.make(key)
+        self[key] = found
         return found
 
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
 
 class TextEncoder:
     """Encodes texts with one tokenizer file.
 
-    ``limit`` bounds the cuts that a generation of the cache holds.
+    ``limit`` bounds the cuts, and the words, that a generation of the caches holds.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.limit = limit
-        self.cuts = _Cuts(self)
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.cuts = _Cache(self.encode_cut, limit)
+        self.words = _Cache(self._word, limit)
+        self.marks = _Cache(self.whole, 10_000)
         self.alphabet = _byte_alphabet()
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.byte_level = kind == "ByteLevel" and self.tokenizer.normalizer is None
@@ -77,23 +82,24 @@ class TextEncoder:
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of letters, with or without a space before them."""
+        return self._pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+
     def encode_cut(self, cut: str) -> bytes:
+        """The ids of a cut with the space before it."""
         plain = _PLAIN.fullmatch(cut)
         if not plain:
             return self.whole(" " + cut)
-        word, mark = plain.groups()
-        ids = self.words.get(word)
-        if ids is None:
-            stands_in = (" " + word).encode().decode("latin-1").translate(self.alphabet)
-            ids = self._pack([t.id for t in self.model.tokenize(stands_in)])
-            self.words[word] = ids
-        if not mark:
-            return ids
-        if mark not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[mark] = self.whole(mark)
-        return ids + self.marks[mark]
+        word, mark, below, last = plain.groups()
+        ids = self.words[" " + word]
+        if mark:
+            ids += self.marks[mark]
+        if below:
+            ids += self.marks["\n"] + self.words[below]
+            if last:
+                ids += self.marks[last]
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, four bytes each."""
@@ -112,12 +118,8 @@ class TextEncoder:
         first = cuts[0]
         head = self.whole(first) if first else b""
         found = b"".join(map(self.cuts.__getitem__, cuts[1:]))
-        if len(self.cuts) > self.limit:
-            older = dict(self.cuts)
-            self.cuts.clear()
-            self.cuts.older = older
-        if len(self.words) > self.limit:
-            self.words.clear()
+        for cache in (self.cuts, self.words, self.marks):
+            cache.trim()
         return head + found
 
 
