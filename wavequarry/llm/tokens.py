@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable
 
 #: White space next to a space: there the cuts on both sides stay joined.
 _TWO_SPACES = re.compile(r"\s\s")
+_MARKS = ".,;:!?"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?")
 
 
@@ -84,10 +85,15 @@ class TextEncoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of letters, with or without a space before them."""
-        return self._pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+        stands_in = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.model.tokenize(stands_in)])
 
     def encode_cut(self, cut: str) -> bytes:
         """The ids of a cut with the space before it."""
+        word = cut.rstrip(_MARKS)
+        if word.isalpha() and word.isascii():
+            ids = self.words[" " + word]
+            return ids if len(word) == len(cut) else ids + self.marks[cut[len(word) :]]
         plain = _PLAIN.fullmatch(cut)
         if not plain:
             return self.whole(" " + cut)
