@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavequarry.llm import ann, chat, media, mixing, neardup, packing, pfor, quality, secrets, substring
-from wavequarry.llm.tokens import default_path, encoder
+from wavequarry.llm import ann, chat, media, mixing, neardup, packing, pfor, quality, secrets, substring, tokens
+from wavequarry.llm.tokens import TextEncoder, default_path, encoder
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,11 +67,25 @@ def test_blocks_round_trip(n):
         assert (pfor.decode_blocks(starts, payload, n) == ids).all()
 
 
+PARTS = [" ", " ", " ", "\n", "a", "the", "Wast", "Bé", ".", ",", "'s", "1", "\x1d", "漢", "!", "\t", "\x85", "\u00a0", "\u2003", "\u3000", "¿", "—", "ñ", "'", "_", "(", "$", "<|", "<|endoftext|>"]
+
+
 def test_encoder_is_the_tokenizer():
     rng, own = random.Random(3), encoder(default_path())
-    for _ in range(2000):
-        text = "".join(rng.choice([" ", " ", "\n", "a", "the", "Wast", "Bé", ".", ",", "'s", "1", "\x1d", "漢", "!", "\t", "\x85", "<|endoftext|>"]) for _ in range(rng.randint(0, 25)))
-        assert own.encode(text) == own.whole(text)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    want = [own.whole(text) for text in texts]
+    assert [own.encode(text) for text in texts] == want
+    assert list(own.encode_many(texts)) == want
+    assert list(own.encode_many([None, "", None])) == [b"", b"", b""]
+    assert list(own.encode_many([])) == []
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 40])
+def test_encoder_in_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    rng, own = random.Random(chunk), TextEncoder(default_path(), limit=20)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    assert list(own.encode_many(texts)) == [own.whole(text) for text in texts]
 
 
 def test_packing(docs):

@@ -143,12 +143,12 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
         raise ValueError("capacity and pool must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        encode_many, end = encoder(path).encode_many, int(end_id).to_bytes(4, "little")
         packer = _Packer(capacity, TaskContext.get().partitionId() << 33)
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_many(text.as_py() for text in batch.column(1)), strict=True):
+                ids += end
                 packer.add(doc_id, ids)
                 held += len(ids)
                 if packer.waiting >= pool:

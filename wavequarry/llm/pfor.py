@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        encode_many, end = encoder(path).encode_many, int(end_id).to_bytes(4, "little")
         doc_ids: list[int | None] = []
         held: list[bytes] = []
         segment, start, size = 0, 0, 0
@@ -193,8 +193,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_many(text.as_py() for text in batch.column(1)), strict=True):
+                ids += end
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids) // 4

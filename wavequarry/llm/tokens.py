@@ -1,11 +1,13 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
 The ids are those of the tokenizers library.  A byte-level vocabulary never
-joins a piece across a space that stands between two other characters, so a
-text is cut at such spaces and each cut is encoded once per worker: its bytes
-are kept in a bounded two-generation cache.  A cut made of words of letters on
-lines of their own, each with optional marks behind it, goes word by word
-straight to the library's merge model; every other cut goes through the whole
+joins a piece across a space that stands between two other characters, so
+texts are cut before such spaces.  The cuts of many texts are found at once in
+their bytes, Arrow numbers the distinct ones, only these are looked up in a
+bounded two-generation cache, and the ids of all cuts are gathered by number.
+A cut made of words of letters on lines of their own, each with optional marks
+behind it, goes word by word straight to the library's merge model, and its
+words are kept as cuts of their own; every other cut goes through the whole
 tokenizer.
 """
 
@@ -14,12 +16,20 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Callable, Iterable
+import string
+from collections.abc import Callable, Iterable, Iterator
 
-#: White space next to a space: there the cuts on both sides stay joined.
-_TWO_SPACES = re.compile(r"\s\s")
-_MARKS = ".,;:!?"
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?")
+import numpy as np
+import pyarrow as pa
+
+#: Bytes of text whose cuts are numbered together.
+CHUNK = 8 << 20
+#: A space at which a text may be cut.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than ASCII, in UTF-8.
+_WHITE2 = np.array([int.from_bytes(c.encode()) for c in "\u0085\u00a0"])
+_WHITE3 = np.array([int.from_bytes(c.encode()) for c in ["\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]])
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([{0}]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([{0}]*))?".replace("{0}", re.escape(string.punctuation)))
 
 
 def default_path() -> str:
@@ -59,10 +69,10 @@ class _Cache(dict):
 class TextEncoder:
     """Encodes texts with one tokenizer file.
 
-    ``limit`` bounds the cuts, and the words, that a generation of the caches holds.
+    ``limit`` bounds the cuts that a generation of the cache holds between chunks.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,7 +80,6 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.cuts = _Cache(self.encode_cut, limit)
-        self.words = _Cache(self._word, limit)
         self.marks = _Cache(self.whole, 10_000)
         self.alphabet = _byte_alphabet()
         kind = type(self.tokenizer.pre_tokenizer).__name__
@@ -89,44 +98,108 @@ class TextEncoder:
         return self._pack([t.id for t in self.model.tokenize(stands_in)])
 
     def encode_cut(self, cut: str) -> bytes:
-        """The ids of a cut with the space before it."""
-        word = cut.rstrip(_MARKS)
-        if word.isalpha() and word.isascii():
-            ids = self.words[" " + word]
-            return ids if len(word) == len(cut) else ids + self.marks[cut[len(word) :]]
+        """The ids of a cut, which holds the space before it."""
         plain = _PLAIN.fullmatch(cut)
         if not plain:
-            return self.whole(" " + cut)
-        word, mark, below, last = plain.groups()
-        ids = self.words[" " + word]
-        if mark:
-            ids += self.marks[mark]
+            return self.whole(cut)
+        word, marks, below, last = plain.groups()
+        if not marks and not below:
+            return self._word(word)
+        ids = self.cuts[word]
+        if marks:
+            ids += self.marks[marks]
         if below:
-            ids += self.marks["\n"] + self.words[below]
+            ids += self.marks["\n"] + self.cuts[below]
             if last:
                 ids += self.marks[last]
         return ids
 
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of ``pieces``, whose joined bytes are numbered together."""
+        ends = np.cumsum([len(piece) for piece in pieces])
+        firsts = ends - [len(piece) for piece in pieces]
+        data = b"".join(pieces)
+        begins, first_cut = _cuts(data, firsts, ends)
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        cuts = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        number = cuts.indices.to_numpy()
+        found = list(map(self.cuts.__getitem__, cuts.dictionary.to_numpy(zero_copy_only=False)))
+        known = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = size[number]
+        after = np.cumsum(lengths)
+        before = (np.cumsum(size) - size)[number]
+        ids = known[np.repeat(before - (after - lengths), lengths) + np.arange(int(after[-1]))].tobytes()
+        bounds = (4 * np.append(0, after)[np.append(first_cut, len(begins))]).tolist()
+        for cache in (self.cuts, self.marks):
+            cache.trim()
+        return [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, four bytes each; a null text has none.
+
+        About ``CHUNK`` bytes of texts are held at a time; a longer text is
+        encoded in pieces.
+        """
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if not self.byte_level:
+                yield self.whole(text)
+                continue
+            if len(text) > CHUNK:
+                if held:
+                    yield from self._encode_pieces(held)
+                    held, size = [], 0
+                yield b"".join(self._encode_pieces([piece.encode()])[0] for piece in _pieces(text))
+                continue
+            held.append(text.encode())
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield from self._encode_pieces(held)
+                held, size = [], 0
+        if held:
+            yield from self._encode_pieces(held)
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, four bytes each."""
-        if not self.byte_level:
-            return self.whole(text)
-        cuts = text.split(" ")
-        if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-            joined = [cuts[0]]
-            for cut in cuts[1:]:
-                before = joined[-1]
-                if not cut or cut[0].isspace() or not before or before[-1].isspace():
-                    joined[-1] = before + " " + cut
-                else:
-                    joined.append(cut)
-            cuts = joined
-        first = cuts[0]
-        head = self.whole(first) if first else b""
-        found = b"".join(map(self.cuts.__getitem__, cuts[1:]))
-        for cache in (self.cuts, self.words, self.marks):
-            cache.trim()
-        return head + found
+        return next(self.encode_many([text]))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of ``CHUNK`` characters, each up to the next place to cut."""
+    begin = 0
+    while cut := _CUT.search(text, begin + CHUNK):
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:]
+
+
+def _cuts(data: bytes, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where cuts begin in ``data``, the number of each text's first cut).
+
+    Texts lie in ``data`` from ``firsts`` to ``ends``.  A cut begins where a
+    text does, and at a space with no white space and no end of the text beside it.
+    """
+    raw = np.frombuffer(b"\0\0\0" + data + b"\0\0\0", np.uint8)
+    white = np.zeros(256, bool)
+    white[[*range(9, 14), *range(28, 33)]] = True
+    at = np.flatnonzero(raw == 32)
+    before, after = raw[at - 1], raw[at + 1]
+    fits = ~(white[before] | white[after])
+    wide = np.flatnonzero(fits & ((before | after) > 127))
+    if len(wide):
+        here = at[wide]
+        three = [raw[here + k].astype(np.int64) << 16 | raw[here + k + 1].astype(np.int64) << 8 | raw[here + k + 2] for k in (-3, 1)]
+        fits[wide] = ~(np.isin(three, _WHITE3).any(axis=0) | np.isin(three[0] & 0xFFFF, _WHITE2) | np.isin(three[1] >> 8, _WHITE2))
+    at = at[fits] - 3
+    edge = np.zeros(len(data) + 2, bool)
+    edge[firsts] = True
+    edge[ends] = True
+    at = at[~(edge[at] | edge[at + 1])]
+    rank = np.searchsorted(at, firsts)
+    return np.insert(at, rank, firsts), rank + np.arange(len(firsts))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
