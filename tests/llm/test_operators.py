@@ -381,6 +381,40 @@ def test_nearest(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def spread_out(rng, n):
+    v = rng.normal(size=(n, 16))
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def test_nearest_of_small_clusters(spark):
+    """Isolated vectors and groups of fewer than k copies, each with a list of its own: every query has k rows."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(spread_out(rng, 14), [*range(1, 14), 820], axis=0)
+    df = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 10 * len(x), 20))
+    for q, found in got.items():
+        assert sorted(f[0] for f in found) == list(range(1, 21))
+        assert len({f[1] for f in found} - {q}) == 20
+        assert all(abs(f[2] - float(x[q // 10] @ x[f[1] // 10])) < 1e-9 for f in found)
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one vec_id with one score are one candidate and do not take the place of others."""
+    rng = np.random.default_rng(13)
+    rows = [(i, [1.0 - i / 100, 0.0]) for i in range(30)]
+    rows += [(40 + i % 3, [2.0, float(v)]) for i, v in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df).collect()}
+    for q in (0, 20):
+        scores = {(-float(np.dot(rows[q][1], v)), i) for i, v in rows if i != q}
+        assert [got[q, k + 1] for k in range(20)] == [(i, -s) for s, i in sorted(scores)[:20]]
+    few = spark.createDataFrame(rows[:5] + rows[:5] + [rows[20]], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in ann.search(few).collect()) == [(0, i) for i in (1, 2, 3, 4, 20)] + [(20, i) for i in range(5)]
+
+
 def test_recall_and_accuracy(spark):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     x = np.array([r["embedding"] for r in emb.orderBy("vec_id").collect()])

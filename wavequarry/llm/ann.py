@@ -3,7 +3,9 @@
 Centroids are fitted on a bounded sample with a penalty on full lists; every
 vector is indexed: it goes to its nearest list and, near a boundary, to the
 lists about as near.  A query walks an in-memory graph of the centroids and
-searches the lists that a distance ratio leaves.  Lists longer than a block
+searches the lists that a distance ratio leaves, and further ones until they
+hold enough vectors; a query that still finds too few is compared with every
+vector.  Lists longer than a block
 are dealt to blocks, and so are a list's queries, so no task holds a list.
 The largest inner product is found as the least distance after a coordinate
 that fills every vector up to the largest norm.
@@ -88,8 +90,12 @@ class ListIndex:
         near = np.take_along_axis(d, order, axis=1)
         return [o[n <= CLOSURE * n[0]] for o, n in zip(order, near, strict=True)]
 
-    def walk(self, query: np.ndarray, ratio: float, least: int = 8) -> list[int]:
-        """Lists within the ratio of the nearest found, by best-first walk of the graph."""
+    def walk(self, query: np.ndarray, ratio: float, held: list[int], enough: int, least: int = 8) -> list[int]:
+        """Lists within the ratio of the nearest found, by best-first walk of the graph.
+
+        The next nearest follow until all hold ``enough`` vectors by ``held``,
+        which counts each vector in one list.
+        """
 
         def distance(k: int) -> float:
             return float(np.sqrt(((self.centroids[k] - query) ** 2).sum()))
@@ -101,7 +107,7 @@ class ListIndex:
         settled = 0
         while frontier:
             d, k = heapq.heappop(frontier)
-            if d > ratio * best and settled >= least:
+            if d > ratio * best and settled >= least and sum(held[n] for n in seen) >= enough:
                 break
             settled += 1
             for n in self.near[k].tolist():
@@ -109,7 +115,13 @@ class ListIndex:
                     seen[n] = distance(n)
                     best = min(best, seen[n])
                     heapq.heappush(frontier, (seen[n], n))
-        return sorted(k for k, d in seen.items() if d <= ratio * best)
+        lists, covered = [], 0
+        for k, d in sorted(seen.items(), key=lambda s: s[1]):
+            if d > ratio * best and covered >= enough:
+                break
+            lists.append(k)
+            covered += held[k]
+        return sorted(lists)
 
 
 def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> ListIndex:
@@ -143,19 +155,30 @@ def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> Lis
     return index
 
 
-def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which of sorted rows differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, reach: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, ids, scores) of the k largest inner products of each query, ties to the smaller id.
 
     A matrix product finds what may be among them, with a margin above its
     rounding; those are summed again component by component, so that equal
-    vectors have equal scores whichever block they stand in.
+    vectors have equal scores whichever block they stand in.  Equal ids with
+    equal scores count once; where they leave a query short, ``reach`` grows.
     """
+    reach = reach or k
     longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
     for begin in range(0, len(queries), 256):
         q, own = queries[begin : begin + 256], query_ids[begin : begin + 256]
         scores = q @ vectors.T
         scores[own[:, None] == ids[None, :]] = -np.inf
-        least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+        least = np.partition(scores, len(ids) - reach, axis=1)[:, len(ids) - reach] if len(ids) > reach else np.full(len(q), -np.inf)
         margin = 1e-12 * longest * np.sqrt((q * q).sum(axis=1))
         row, at = np.nonzero((scores >= (least - margin)[:, None]) & (scores > -np.inf))
         exact = np.empty(len(row))
@@ -164,8 +187,13 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             exact[some] = np.cumsum(q[row[some]] * vectors[at[some]], axis=1)[:, -1]
         order = np.lexsort((ids[at], -exact, row))
         row, at, exact = row[order], at[order], exact[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        fresh = _fresh(row, exact, ids[at])
+        row, at, exact = row[fresh], at[fresh], exact[fresh]
+        again = (np.bincount(row, minlength=len(q)) < k) & (least > -np.inf)
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & ~again[row]
         yield own[row[keep]], ids[at[keep]], exact[keep]
+        if again.any():
+            yield from top_k(q[again], own[again], vectors, ids, k, 2 * reach)
 
 
 def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sample: int = SAMPLE, ratio: float = RATIO) -> DataFrame:
@@ -176,7 +204,8 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
     zero, or hold null or non-finite components take no part, nor do rows
     without vec_id, nor vectors of another length than the most common one
     (the longer one of a tie).  Rows of one vec_id are one candidate for each
-    different score.  An empty table gives no rows.
+    different score.  A query has ``k`` rows, or all its candidates where they
+    are fewer.  An empty table gives no rows.
     """
     empty = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
@@ -197,10 +226,11 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
                 lists = index.assign(x)
                 rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
                 where = np.concatenate(lists)
+                first = np.concatenate([np.arange(len(v)) == 0 for v in lists])
                 for begin in range(0, len(rows), 10_000):
                     part = rows[begin : begin + 10_000]
                     taken = batch.take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(where[begin : begin + 10_000], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["list", "vec_id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(where[begin : begin + 10_000], pa.int32()), pa.array(first[begin : begin + 10_000]), taken.column("vec_id"), taken.column("vec")], ["list", "first", "vec_id", "vec"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,26 +238,19 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
                 x = _matrix(batch.column("vec"), dim)
                 length = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)
                 aimed = np.hstack([x / length[:, None] * index.norm, np.zeros((len(x), 1))])
-                lists = [index.walk(q, ratio) for q in aimed]
+                lists = [index.walk(q, ratio, held, k + 1) for q in aimed]
                 rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["list", "query_id", "vec"])
 
-    posted = materialize(vectors.mapInArrow(place, "list int, vec_id long, vec binary"), "postings")
-    routed = materialize(vectors.where(F.col("vec_id") % every == 0).mapInArrow(route, "list int, query_id long, vec binary"), "routes")
-
-    # one number for each list, at most ``n_lists`` of them
-    def blocks(rows: DataFrame, size: int) -> list[int]:
-        counts = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}
-        return [max(1, -(-counts.get(k, 0) // size)) for k in range(len(index.centroids))]
-
-    list_blocks, query_blocks = blocks(posted, LIST_BLOCK), blocks(routed, QUERY_BLOCK)
-
-    def of(numbers: list[int]):
-        return F.element_at(F.array(*map(F.lit, numbers)), F.col("list") + 1).cast("long")
+    posted = materialize(vectors.mapInArrow(place, "list int, first boolean, vec_id long, vec binary"), "postings")
+    # two numbers for each list, at most ``n_lists`` of them: vec_ids that it is nearest to, and rows
+    told = {r["list"]: r for r in posted.groupBy("list").agg(F.count_distinct(F.when(F.col("first"), F.col("vec_id"))).alias("held"), F.count(F.lit(1)).alias("n")).collect()}
+    held = [told[n]["held"] if n in told else 0 for n in range(len(index.centroids))]
+    queries = vectors.where(F.col("vec_id") % every == 0)
+    routed = materialize(queries.mapInArrow(route, "list int, query_id long, vec binary"), "routes")
+    asked = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
 
-    left = posted.withColumn("b", F.pmod(F.xxhash64("vec_id"), of(list_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), of(query_blocks) - 1)))
-    right = routed.withColumn("qb", F.pmod(F.xxhash64("query_id"), of(query_blocks))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), of(list_blocks) - 1)))
     hit_type = pa.list_(pa.struct([("back", pa.float64()), ("vec_id", pa.int64())]))
     hit_schema = pa.schema([("query_id", pa.int64()), ("hits", hit_type)])
 
@@ -241,14 +264,42 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
         ids, query_ids = np.array(vecs.column("vec_id")), np.array(queries.column("query_id"))
         found = list(top_k(q, query_ids, x, ids, k))
         of, vec_ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        # rows of one query_id are one query
+        order = np.lexsort((vec_ids, -scores, of))
+        of, vec_ids, scores = of[order], vec_ids[order], scores[order]
+        fresh = _fresh(of, scores, vec_ids)
+        of, vec_ids, scores = of[fresh], vec_ids[fresh], scores[fresh]
+        first = np.arange(len(of)) - np.searchsorted(of, of) < k
+        of, vec_ids, scores = of[first], vec_ids[first], scores[first]
+        cut = np.flatnonzero(_fresh(of))
         structs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(vec_ids, pa.int64())], ["back", "vec_id"])
         hits = pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)), pa.int32()), structs)
         return pa.table([pa.array(of[cut], pa.int64()), hits.cast(hit_type)], hit_schema)
 
-    keys = ["list", "b", "qb"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, hits array<struct<back: double, vec_id: long>>")
-    # a candidate is in REPLICAS lists at most, so the first k different ones are among these
-    merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k * REPLICAS).alias("hits"))
-    best = merged.select("query_id", F.slice(F.array_distinct("hits"), 1, k).alias("hits"))
+    def nearest(posted: DataFrame, routed: DataFrame, list_sizes: list[int], query_sizes: list[int]) -> DataFrame:
+        """query_id and hits: the first ``k`` in the lists that each query is routed to."""
+
+        def of(sizes: list[int], block: int):
+            return F.element_at(F.array(*(F.lit(max(1, -(-n // block))) for n in sizes)), F.col("list") + 1).cast("long")
+
+        list_blocks, query_blocks = of(list_sizes, LIST_BLOCK), of(query_sizes, QUERY_BLOCK)
+        left = posted.withColumn("b", F.pmod(F.xxhash64("vec_id"), list_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), query_blocks - 1)))
+        right = routed.withColumn("qb", F.pmod(F.xxhash64("query_id"), query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), list_blocks - 1)))
+        keys = ["list", "b", "qb"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, hits array<struct<back: double, vec_id: long>>")
+        # a candidate is in REPLICAS lists at most, so the first k different ones are among these
+        merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k * REPLICAS).alias("hits"))
+        return merged.select("query_id", F.slice(F.array_distinct("hits"), 1, k).alias("hits"))
+
+    sizes_of = [told[n]["n"] if n in told else 0 for n in range(len(index.centroids))]
+    best = materialize(nearest(posted.drop("first"), routed, sizes_of, [asked.get(n, 0) for n in range(len(index.centroids))]), "hits")
+    full = best.where(F.size("hits") == k)
+    queries = queries.select(F.lit(0).alias("list"), F.col("vec_id").alias("query_id"), "vec")
+    short = materialize(queries.select("query_id").distinct().join(full.select("query_id"), "query_id", "left_anti"), "short")
+    n_short = short.count()
+    if n_short:
+        # lists do not hold k candidates of these, by repeated rows or equal scores: all vectors are one list
+        every_vector = vectors.select(F.lit(0).alias("list"), "vec_id", "vec")
+        again = materialize(queries.join(short, "query_id", "left_semi").select("list", "query_id", "vec"), "again")
+        best = full.unionByName(nearest(every_vector, again, [common["n"]], [n_short]))
     return best.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.back")).alias("score"))
