@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from wavequarry.llm import ann, chat, media, mixing, neardup, packing, pfor, quality, secrets, substring, tokens
 from wavequarry.llm.tokens import TextEncoder, default_path, encoder
@@ -88,6 +89,19 @@ def test_encoder_in_pieces(monkeypatch, chunk):
     assert list(own.encode_many(texts)) == [own.whole(text) for text in texts]
 
 
+def test_added_tokens_are_the_plain_tokenizer(spark):
+    """A freshly loaded tokenizer, called plainly, gives the ids of texts with and without its added token."""
+    plain, own, rng = Tokenizer.from_file(default_path()), TextEncoder(default_path()), random.Random(14)
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n<|endoftext|> c", "<|endoftext| >", "x.<|\nendoftext|>"]
+    texts += ["".join(rng.choices([*PARTS, "<|endoftext|>", " "], k=rng.randint(0, 25))) for _ in range(2000)]
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [437, 220, 50256, 1306]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_many(texts)] == want
+    got = {r["doc_id"]: r for r in pfor.decode_documents(pfor.store_documents(documents(spark, [(i, t, "s") for i, t in enumerate(texts[:50])]))).collect()}
+    for i, ids in enumerate(want[:50]):
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+
+
 def test_packing(docs):
     got = packing.pack_documents(docs, capacity=128).collect()
     rows = docs.collect()

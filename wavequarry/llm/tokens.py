@@ -1,6 +1,7 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-The ids are those of the tokenizers library.  A byte-level vocabulary never
+The ids are those of the tokenizers library with the file as it stands, so the
+text of an added token is that token.  A byte-level vocabulary never
 joins a piece across a space that stands between two other characters, so
 texts are cut before such spaces.  The cuts of many texts are found at once in
 their bytes, Arrow numbers the distinct ones, only these are looked up in a
@@ -77,7 +78,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.cuts = _Cache(self.encode_cut, limit)
         self.marks = _Cache(self.whole, 10_000)
