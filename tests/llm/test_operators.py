@@ -329,6 +329,20 @@ def test_media_round_trip(docs):
     assert all(f"frames={r['payload_bytes'] // 576};" in r["feature"] and "wrong=0;skipped=0" in r["feature"] for r in got)
 
 
+def test_media_text_like_a_tag(spark):
+    """A text whose bytes read TAG 128 bytes before the end of its stream comes back whole; a real tag is still found."""
+    texts = ["x" * 505 + "TAG", "y" * (576 + 505) + "TAG" + "z" * 68, "x" * 504 + "TAG", "w" * 505 + "TAG" * 20]
+    for text in texts:
+        raw = media.carry(text.encode())
+        length, payload = media.uncarry(raw)
+        assert payload[:length].decode() == text
+        tagged = media.parse_mpeg(raw + b"TAG" + bytes(125))
+        assert tagged.tags["TAG"] == b"TAG" + bytes(125) and tagged.offsets == media.parse_mpeg(raw).offsets and tagged.skipped == 0
+        assert "TAG" not in media.parse_mpeg(raw).tags
+    got = media.read_back(media.store_texts(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))).collect()
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in got) == [(i, len(t)) for i, t in enumerate(texts)]
+
+
 def test_mpeg_parser():
     raw = media.carry(bytes(range(256)) * 9)
     plain = media.parse_mpeg(raw)

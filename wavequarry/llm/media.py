@@ -165,18 +165,22 @@ def parse_mpeg(raw: bytes) -> Stream:
     """Everything about a stream; any bytes will do, frames or not.
 
     A frame counts if its header is followed by the next frame's header of
-    the same kind, by a tag, or by the end of the stream.
+    the same kind, by a tag, or by the end of the stream.  "TAG" 128 bytes
+    before the end is no ID3v1 tag where a frame in sync runs through it to
+    exactly the end.
     """
     out = Stream()
     at, end = 0, len(raw)
     while (n := _id3v2(raw, at, out.tags)) and at + n <= end:
         at += n
-    if end >= 128 and raw[end - 128 : end - 125] == b"TAG":
+    start, whole = at, end
+    if end >= at + 128 and raw[end - 128 : end - 125] == b"TAG":
         end -= 128
-        out.tags.setdefault("TAG", raw[end:])
     synced, verdicts = False, {}
     while at + 4 <= end:
         header = read_header(raw[at : at + 4])
+        if end < whole and header is not None and at + header.size == whole and (synced or at == start) and (out.header is None or header.kind == out.header.kind):
+            end = whole
         ok = header is not None and at + header.size <= end and (out.header is None or header.kind == out.header.kind)
         if ok and not synced and at + header.size < end:
             after = read_header(raw[at + header.size : at + header.size + 4])
@@ -202,6 +206,8 @@ def parse_mpeg(raw: bytes) -> Stream:
             out.samples += header.samples
             out.bitrates.add(header.bitrate)
         at += header.size
+    if end < whole:
+        out.tags.setdefault("TAG", raw[end:])
     out.skipped += max(0, end - at)
     return out
 
