@@ -35,6 +35,12 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=repr)
 
 
+def test_transcode_loss_of_all_codecs(spark):
+    snr = {r["codec"]: r["snr_db"] for r in catalogue.transcode_loss(spark, SF).collect()}
+    assert sorted(snr) == ["alaw", "flac", "ima", "ms", "mulaw", "yamaha"]
+    assert snr["flac"] > 60 and snr["ima"] > 5
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_catalogue(spark, views, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()

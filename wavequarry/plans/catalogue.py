@@ -199,9 +199,12 @@ def transcode_summary(spark, sf_dir):
 def transcode_loss(spark, sf_dir):
     """Signal-to-noise ratio in dB of each codec's round trip over all waveforms."""
     parts = []
-    for codec in ("alaw", "mulaw", "ms", "yamaha"):
+    for codec in ("alaw", "mulaw", "ima", "ms", "yamaha", "flac"):
         content = wav.content_column(F.col("embedding"), 1, "f32", codec, 8000)
         back = waveform.decode_contents(spread(spark, sf_dir).select("vec_id", content.alias("content")), "f32", "vec_id")
+        if codec == "ima":  # a block's first frame of 1017 is its header's sample, the state before the block
+            at = F.col("frame_idx")
+            back = back.where(at % 1017 != 0).withColumn("frame_idx", at - 1 - F.floor(at / 1017))
         told = each(waves(spark, sf_dir), F.col("embedding"), "x", "double")
         both = back.join(told, (back["vec_id"] == told["vec_id"]) & (F.col("frame_idx") == F.col("pos")))
         noise = F.sum(F.pow(F.col("x") - F.col("samples")[0], 2))
