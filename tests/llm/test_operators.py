@@ -515,3 +515,42 @@ def test_quality_edges(spark, docs):
     odd = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0), (None, 1, 0), (4, None, 0), (99, 1, 0), (5, 1, None), (6, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.with_score(docs, quality.train(docs, odd), "s").collect()
     assert len(got) == docs.count() and all(0 <= r["s"] <= 1 for r in got)
+
+
+def twin_words(n=4096):
+    """Two words that differ in every letter and that sums of powers of an odd base modulo 2**64 do not tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_duplicates_by_words_not_hashes(spark, monkeypatch):
+    """Texts of different words are no pair, though their words' hashes or even all signatures be the same."""
+    a, b = twin_words()
+    rows = [(k, " ".join([w] * 4 + [f"{'q' if k < 2 else 'r'}{i}" for i in range(9)]), "s") for k, w in enumerate([a, b, a, b])]
+    got = neardup.near_duplicate_classes(documents(spark, rows))
+    assert by_rows(got.select("doc_id", "class_id", "n_links")) == brute_classes(rows)
+    texts = [" ".join(f"{c}{i}" for i in range(30)).encode() for c in "xyx"]
+    left, right = neardup.linked_pairs(texts, signature=np.zeros((3, neardup.HASHES), np.uint32))
+    assert list(zip(left, right, strict=True)) == [(0, 2)]
+
+
+def test_exact_shingles():
+    rng = random.Random(20)
+    texts = [" ".join(rng.choices(["a", "b", "ab", "a\tb", "é"], k=rng.randint(0, 40))) for _ in range(50)]
+    sets = neardup.TextBlock([t.encode() for t in texts]).exact_shingles(3)
+    words = [t.split() for t in texts]
+    plain = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in words]
+    for i in range(50):
+        for j in range(50):
+            assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(plain[i] & plain[j])
+
+
+def test_components_of_a_star(spark):
+    """A centre with a thousand neighbours, a long path and pairs: the root is the smallest node."""
+    edges = [(0, i) for i in range(1, 1000)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5001, 5000)]
+    from wavequarry.llm.components import connected_components
+
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(1000)} | {2000 + i: 2000 for i in range(41)} | {5000: 5000, 5001: 5000}

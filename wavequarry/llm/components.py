@@ -5,44 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, spread_join, store
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour, or to itself."""
     near = _both_ways(edges)
-    least = near.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-    moved = near.where("b > a").join(least, F.col("a") == F.col("u"))
+    least = near.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    moved = spread_join(near.where("b > a"), "a", least, "u", "degree", 2 * n)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    moved = down.join(least, F.col("a") == F.col("u"))
+    least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+    moved = spread_join(down, "a", least, "u", "degree", n)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``; the root is the smallest node.
 
-    Each round is written to the shared folder; rounds end when the edges no
-    longer change, which takes about the logarithm of the longest path.
+    Each round is written to the shared folder in place of the one before;
+    rounds end when the edges no longer change, which takes about the
+    logarithm of the longest path.  Hubs are joined by broadcast, at most a
+    thousand of them, so no task holds a star's neighbours.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = materialize(_small_star(edges), "components")
+    spark = edges.sparkSession
+    now, path = store(_small_star(edges, edges.count()), "components")
     before = state(now)
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "components")
-        after = state(now)
+        new, new_path = store(_small_star(_large_star(now, before[0]), before[0]), "components")
+        after = state(new)
+        discard(spark, path)
+        now, path = new, new_path
         if after == before:
             break
         before = after

@@ -1,12 +1,13 @@
 """N-gram Jaccard join with Bayesian pruning.
 
-Equal word sequences are one node.  MinHash bands propose candidates; the
-components of the candidate graph say which texts must meet, so each text is
-sent once to the task (or, for a large component, to the block pairs) that
-compares it.  There MinHash values are compared a few at a time and a pair is
-dropped once its posterior probability of reaching the threshold is below the
-tolerance; the rest is verified exactly.  Tasks give back counts of links and
-a spanning forest, never the pairs.
+Equal word sequences are one node.  MinHash bands propose: nodes that share
+one form a component.  Their signatures meet, block by block; MinHash values
+are compared a few at a time and a pair is dropped once its posterior
+probability of reaching the threshold is below the tolerance.  What is left
+falls into smaller components, and only within these the texts meet, each sent
+once to the task (or, for a large component, to the block pairs) that compares
+it: shingles are numbered there by their words, so the similarity is exact.
+Tasks give back counts of links and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_batches, full_text, materialize
+from .common import cut_batches, full_text, materialize, release_memory, spread_join
 from .components import connected_components
 from .words import TextBlock, mix64
 
@@ -31,7 +32,11 @@ TOLERANCE = 1e-5
 BANDS, ROWS = 25, 5
 HASHES = 128
 STEP = 16
+#: Texts of a block of a large component, at most about; bytes of text that meet in one task, about.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Signatures that meet in one task, about.
+SIGNATURES = 4096
 
 _RANDOM = np.random.default_rng(7_919)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -100,40 +105,51 @@ def _intersections(shingles: list[np.ndarray], left: np.ndarray, right: np.ndarr
     row, column = row[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.full((len(used), len(used)), float(everywhere.sum()), np.float32)
+    # a product's 4096 columns are exact in float32, their sum over any number of products in int64
+    common = np.full((len(used), len(used)), int(everywhere.sum()), np.int64)
     for begin in range(0, int(part.sum()), 4096):
         a, b = np.searchsorted(column, [begin, begin + 4096])
         matrix = np.zeros((len(used), 4096), np.float32)
         matrix[row[a:b], column[a:b] - begin] = 1
-        common += matrix @ matrix.T
+        common += (matrix @ matrix.T).astype(np.int64)
     back = np.searchsorted(used, np.stack([left, right]))
-    return common[back[0], back[1]].astype(np.int64)
+    return common[back[0], back[1]]
 
 
-def linked_pairs(texts: list[bytes], side: np.ndarray | None = None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts of Jaccard similarity >= threshold that share a band.
+def candidate_pairs(signature: np.ndarray, side: np.ndarray | None = None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that share a band and that the pruning rules leave.
 
-    With ``side`` only pairs of texts on different sides are looked at.
+    With ``side`` only pairs of different sides are looked at.
     """
-    shingles = TextBlock(texts).shingles(SHINGLE)
-    signature = signatures(shingles)
-    keys = band_keys(signature)
-    full = np.array([len(s) > 0 for s in shingles])
-    rules = least_matches(threshold)
-    found = []
-    for begin in range(0, len(texts), 128):
-        some = np.arange(begin, min(begin + 128, len(texts)))
-        meet = np.zeros((len(some), len(texts)), bool)
+    keys, rules, n, found = band_keys(signature), least_matches(threshold), len(signature), []
+    for begin in range(0, n, 128):
+        some = np.arange(begin, min(begin + 128, n))
+        meet = np.zeros((len(some), n), bool)
         for b in range(BANDS):
             meet |= keys[some, b][:, None] == keys[:, b][None, :]
-        meet &= (np.arange(len(texts))[None, :] > some[:, None]) & full[some][:, None] & full[None, :]
+        meet &= np.arange(n)[None, :] > some[:, None]
         if side is not None:
             meet &= side[some][:, None] != side[None, :]
         a, b = np.nonzero(meet)
         found.append(prune(signature, some[a], b, rules))
-    left, right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def linked_pairs(texts: list[bytes], side: np.ndarray | None = None, threshold: float = THRESHOLD, signature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of texts whose Jaccard similarity, by their words, is at least ``threshold``.
+
+    Texts without words are in no pair.
+    """
+    block = TextBlock(texts)
+    if signature is None:
+        signature = signatures(block.shingles(SHINGLE))
+    left, right = candidate_pairs(signature, side, threshold)
+    full = block.n_words > 0
+    ok = full[left] & full[right]
+    left, right = left[ok], right[ok]
     if not len(left):
         return left, right
+    shingles = block.exact_shingles(SHINGLE)
     sizes = np.array([len(s) for s in shingles])
     common = _intersections(shingles, left, right)
     ok = common >= threshold * (sizes[left] + sizes[right] - common) - 1e-9
@@ -159,62 +175,120 @@ def _identified(docs: DataFrame, key: str = "row_key", text_hash: str = "text_ha
     return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).withColumn(text_hash, F.xxhash64(text))
 
 
+def node_name(text: bytes) -> bytes:
+    """The name that texts of equal word sequences share."""
+    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
+
+
 def _sketch(rows: DataFrame) -> DataFrame:
-    schema = "row_key long, text_hash long, doc_id long, node binary, bands array<long>"
+    """row_key, text_hash, doc_id, node, size (bytes of text) and signature; null where there is no word."""
+    schema = "row_key long, text_hash long, doc_id long, node binary, size long, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut_batches(batches, "text", 2 << 20):
             raw = [t.as_buffer().to_pybytes() for t in batch.column("text")]
             shingles = TextBlock(raw).shingles(SHINGLE)
-            keys = band_keys(signatures(shingles))
-            bands = [k if len(s) else k[:0] for k, s in zip(keys, shingles, strict=True)]
-            nodes = [hashlib.md5(b" ".join(t.split())).digest() for t in raw]
+            signs = [x.tobytes() if len(s) else None for x, s in zip(signatures(shingles), shingles, strict=True)]
+            nodes = [node_name(t) for t in raw]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("text_hash"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["row_key", "text_hash", "doc_id", "node", "bands"],
+                [batch.column("row_key"), batch.column("text_hash"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array(signs, pa.binary())],
+                ["row_key", "text_hash", "doc_id", "node", "size", "signature"],
             )
+        release_memory()
 
     return rows.select("row_key", "text_hash", F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text")).mapInArrow(run, schema)
 
 
-def _compare(members: DataFrame, threshold: float) -> DataFrame:
-    """node, local_root, links, whole of every member of a block.
+def _bands(nodes: DataFrame) -> DataFrame:
+    """(node, key) of every band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("signature").is_valid())
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                keys = band_keys(_signatures(part.column("signature")))
+                rows = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(rows), pa.array(keys.reshape(-1))], ["node", "key"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "node binary, key long")
+
+
+def _signatures(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, HASHES)
 
-    A component of at most BLOCK nodes is one block and ``whole``; larger ones
-    are dealt to parts, and each pair of parts meets once.
+
+def _forest(meet, text: bool):
+    """The function of a group of members: node, local_root, links and ``whole`` of each.
+
+    A component of one part is ``whole``; of larger ones the group holds one
+    part, or two whose members meet.
     """
-    schema = "node binary, local_root binary, links long, whole boolean"
+    kinds = pa.schema([("node", pa.binary()), ("local_root", pa.binary()), ("links", pa.int64()), ("whole", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = []
-        by_root: dict[bytes, dict[bytes, dict]] = {}
-        for r in rows:
-            by_root.setdefault(r["root"], {})[r["node"]] = r
-        for group in by_root.values():
-            group = [group[k] for k in sorted(group)]
-            raw = [r["text"].encode("utf-8", "surrogatepass") for r in group]
-            ok = [k for k, t in enumerate(raw) if hashlib.md5(b" ".join(t.split())).digest() == group[k]["node"]]
-            group, raw = [group[k] for k in ok], [raw[k] for k in ok]
-            if not group:
-                continue
-            cross = group[0]["parts"] > 1 and len({r["part"] for r in group}) > 1
-            left, right = linked_pairs(raw, np.array([r["part"] for r in group]) if cross else None, threshold)
-            copies = np.array([r["copies"] for r in group], np.int64)
-            links = np.zeros(len(group), np.int64)
-            np.add.at(links, left, copies[right])
-            np.add.at(links, right, copies[left])
-            root = spanning_roots(len(group), left, right)
-            out += [(r["node"], group[root[k]]["node"], int(links[k]), r["parts"] == 1) for k, r in enumerate(group)]
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        kinds = [("node", pa.binary()), ("local_root", pa.binary()), ("links", pa.int64()), ("whole", pa.bool_())]
-        return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], pa.schema(kinds))
-
-    return members.groupBy("large", "g1", "g2").applyInArrow(run, schema)
+        # equal rows share a node: the first row of each stands for it
+        table = table.take(pa.array(np.unique(np.array(table.column("node").to_pylist(), object), return_index=True)[1]))
+        node, root = (table.column(c).to_pylist() for c in ("node", "root"))
+        part, copies = (table.column(c).to_numpy() for c in ("part", "copies"))
+        if not table.num_rows:
+            return kinds.empty_table()
+        cross = table.column("g2")[0].as_py() not in (-1, table.column("g1")[0].as_py())
+        whole = table.column("parts")[0].as_py() == 1
+        signature = _signatures(table.column("signature"))
+        groups: dict[bytes, list[int]] = {}
+        for k, r in enumerate(root):
+            groups.setdefault(r, []).append(k)
+        links, local = np.zeros(len(node), np.int64), np.arange(len(node))
+        for group in map(np.array, groups.values()):
+            texts = [t.as_buffer().to_pybytes() for t in table.column("text").take(pa.array(group))] if text else None
+            left, right = meet(texts, signature[group], part[group] if cross else None)
+            np.add.at(links, group[left], copies[group[right]])
+            np.add.at(links, group[right], copies[group[left]])
+            local[group] = group[spanning_roots(len(group), left, right)]
+        release_memory()
+        return pa.table([pa.array(node, pa.binary()), pa.array([node[k] for k in local], pa.binary()), pa.array(links), pa.array([whole] * len(node))], schema=kinds)
+
+    return run
+
+
+def _dealt(members: DataFrame, bundles: int) -> DataFrame:
+    """Members with ``large``, ``g1`` and ``g2``: the tasks in which they meet.
+
+    Small components share ``bundles`` tasks; a large one has a task for each
+    pair of its parts, and a member goes to those of its own part.
+    """
+    single = F.col("parts") == 1
+    members = members.select("*", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.expr("sequence(0, parts - 1)"))).alias("other"))
+    return members.select(
+        "*", F.when(~single, F.col("root")).alias("large"),
+        F.when(single, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.least("part", "other")).cast("long").alias("g1"),
+        F.when(single, F.lit(-1)).otherwise(F.greatest("part", "other")).cast("long").alias("g2"),
+    ).drop("other")
+
+
+def _placed(members: DataFrame, nodes: DataFrame, parts) -> tuple[DataFrame, int, int]:
+    """Members (node, root) of components of several, with their node's columns and part; their number and bytes."""
+    members = members.join(nodes.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node")).drop("n_node")
+    sizes = members.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes")).where("members > 1")
+    sizes = sizes.withColumn("parts", F.ceil(parts).cast("int"))
+    count, held = sizes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    placed = spread_join(members, "root", sizes.select("of", "members", "parts"), "of", "members", count).drop("of", "members")
+    return placed.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), count, held
+
+
+def _joined_roots(found: DataFrame) -> DataFrame:
+    """(node, root) by the forests of all tasks."""
+    roots = found.where("whole").select("node", F.col("local_root").alias("root"))
+    split = found.where((~F.col("whole")) & (F.col("node") != F.col("local_root"))).select(F.col("node").alias("a"), F.col("local_root").alias("b")).distinct()
+    return roots if split.isEmpty() else roots.union(connected_components(split))
+
+
+FOREST = "node binary, local_root binary, links long, whole boolean"
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: row_key, text_hash, doc_id, class_id, n_links.
+    """Per row of ``docs``: row_key, text_hash, doc_id, class (its name), class_id, n_links.
 
     A link joins two rows whose sets of five-word shingles have a Jaccard
     similarity of at least ``threshold``; n_links counts a row's partners,
@@ -222,52 +296,63 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
     Rows of equal words, blank ones included, are copies.  A text of fewer
     than five words has one shingle of all its words.  Null texts are empty;
     rows without doc_id take part, and a class of them alone has a null id.
+    An empty table gives no rows; columns other than doc_id and text are not
+    read.  Whole texts of any length are compared, one of over ``BLOCK_BYTES``
+    in a task with few others.  A pair at the threshold is missed with a
+    probability of about 1e-4 (no common band, or pruned).
     """
     rows = _identified(docs.select("doc_id", "text"))
     sketch = materialize(_sketch(rows), "sketch")
     nodes = sketch.groupBy("node").agg(
-        F.min(F.struct("row_key", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")
+        F.min(F.struct("row_key", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("size").alias("size")
     )
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = materialize(nodes, "nodes")
+    keys = materialize(_bands(nodes), "bands")
     hubs = keys.groupBy(F.col("key").alias("hub_key")).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = materialize(keys.join(hubs, F.col("key") == F.col("hub_key")).where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
+    edges = spread_join(keys, "key", hubs, "hub_key", "n", BANDS * nodes.count()).where(F.col("node") != F.col("hub"))
+    edges = materialize(edges.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
     plain = nodes.select("node", "copies", "least")
-    if edges.isEmpty():
-        classes = plain.select("node", F.col("least").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
-    else:
-        meeting = materialize(connected_components(edges), "meeting")
-        sizes = meeting.groupBy(F.col("root").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-        placed = meeting.join(sizes, F.col("root") == F.col("of")).join(nodes.select(F.col("node").alias("n"), "rep", "copies"), F.col("node") == F.col("n"))
-        placed = placed.select("node", "root", "parts", "copies", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("rep.row_key").alias("k"), F.col("rep.text_hash").alias("h"))
-        bundles = max(1, -(-meeting.count() // 256))
+    links = roots = None
+    if not edges.isEmpty():
+        signed = nodes.select("node", "copies", "size", "signature", F.col("rep.row_key").alias("k"), F.col("rep.text_hash").alias("h"))
+        placed, count, _ = _placed(connected_components(edges), signed, F.col("members") / (8 * block))
+        meet = _dealt(placed.drop("k", "h", "size"), max(1, -(-count // SIGNATURES)))
+        left = _forest(lambda _, signature, side: candidate_pairs(signature, side, threshold), False)
+        pruned = materialize(meet.groupBy("large", "g1", "g2").applyInArrow(left, FOREST), "pruned")
+        placed, _, held = _placed(_joined_roots(pruned), signed, F.greatest(F.col("members") / block, F.least("members", F.col("bytes") / BLOCK_BYTES)))
         texts = rows.select("row_key", "text_hash", full_text().alias("text"))
-        members = texts.join(placed, (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "text")
-        # the parts that a member meets: all of its component's
-        members = members.select("*", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.expr("sequence(0, parts - 1)"))).alias("other"))
-        single = F.col("parts") == 1
-        members = members.select(
-            "node", "root", "parts", "part", "copies", "text",
-            F.when(~single, F.col("root")).alias("large"),
-            F.when(single, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.least("part", "other")).cast("long").alias("g1"),
-            F.when(single, F.lit(-1)).otherwise(F.greatest("part", "other")).cast("long").alias("g2"),
-        )
-        compared = materialize(_compare(members, threshold), "compared")
+        # equal rows, and in theory others of equal hashes, come with one key: those of another name go
+        members = texts.join(placed, (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "signature", "text")
+        members = _dealt(_named(members), max(1, -(-held // BLOCK_BYTES)))
+        exact = _forest(lambda raw, signature, side: linked_pairs(raw, side, threshold, signature), True)
+        compared = materialize(members.groupBy("large", "g1", "g2").applyInArrow(exact, FOREST), "compared")
         links = compared.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
-        roots = compared.where("whole").select(F.col("node").alias("r_node"), F.col("local_root").alias("class"))
-        split = compared.where((~F.col("whole")) & (F.col("node") != F.col("local_root"))).select(F.col("node").alias("a"), F.col("local_root").alias("b")).distinct()
-        if not split.isEmpty():
-            roots = roots.union(connected_components(split))
+        roots = _joined_roots(compared).select(F.col("node").alias("r_node"), F.col("root").alias("class"))
+    if links is None:
+        classed = plain.select("node", "least", F.col("node").alias("class"), "copies", (F.col("copies") - 1).alias("n_links"))
+    else:
         classed = (
             plain.join(links, F.col("node") == F.col("l_node"), "left")
             .join(roots, F.col("node") == F.col("r_node"), "left")
-            .select("node", "least", F.coalesce("class", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+            .select("node", "least", F.coalesce("class", "node").alias("class"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         )
-        ids = classed.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("class_id"))
-        classes = classed.join(ids, F.col("class") == F.col("c")).select("node", "class", "class_id", "n_links")
-    if "class" not in classes.columns:
-        classes = classes.withColumn("class", F.col("node"))
-    # the copies of one text may be many: its class stands on the small side of a skewed join
-    return sketch.select("row_key", "text_hash", "doc_id", "node").join(classes.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node")).select("row_key", "text_hash", "doc_id", "class", "class_id", "n_links")
+    classed = materialize(classed, "classed")
+    ids = classed.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
+    classes = spread_join(classed, "class", ids, "c", "nodes", classed.count()).select(F.col("node").alias("c_node"), "class", "class_id", "n_links", "copies")
+    # the copies of one text may be many: such nodes are joined by broadcast
+    return spread_join(sketch.select("row_key", "text_hash", "doc_id", "node"), "node", classes, "c_node", "copies", sketch.count()).select("row_key", "text_hash", "doc_id", "class", "class_id", "n_links")
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """Members whose text has the name of their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = [node_name(t.as_buffer().to_pybytes()) == n.as_py() for t, n in zip(batch.column("text"), batch.column("node"), strict=True)]
+                yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return members.mapInArrow(run, members.schema)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
