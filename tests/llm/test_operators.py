@@ -554,3 +554,24 @@ def test_components_of_a_star(spark):
 
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(1000)} | {2000 + i: 2000 for i in range(41)} | {5000: 5000, 5001: 5000}
+
+
+def test_token_cache_is_bounded_in_bytes():
+    """Long cuts are not kept, short ones up to the limit of a generation and one chunk."""
+    own, rng = TextEncoder(default_path(), limit=1 << 20), random.Random(21)
+    for size, times, words in ((2000, 2, 100), (12, 20, 500)):
+        for _ in range(times):
+            text = " ".join("".join(rng.choices("abcdefgh", k=size)) for _ in range(words))
+            assert own.encode(text) == own.whole(text)
+            assert sum(len(k) + len(v) + 190 for c in (own.cuts, own.cuts.older) for k, v in c.items()) <= 2 * ((1 << 20) + 250 * 500)
+    assert all(len(k) <= tokens.KEPT_CUT for k in own.cuts)
+    own.rest()
+    assert not own.cuts.older
+
+
+def test_text_longer_than_a_chunk():
+    rng, own = random.Random(22), TextEncoder(default_path())
+    text = " ".join(rng.choices(["the", "tower,", "naïve", "漢字", "x\n", "  "], k=700_000))
+    assert len(text) > tokens.CHUNK
+    got = list(own.encode_many(["a b", text, "", "c"]))
+    assert got == [own.whole(t) for t in ["a b", text, "", "c"]]

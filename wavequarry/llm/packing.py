@@ -136,18 +136,21 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
     Columns read: doc_id, text; others are ignored.  A null text is empty (its
     end id alone); rows with equal or null doc_id are documents of their own;
     an empty table gives no rows.  Sequence ids are unique, not dense: the
-    task's number times 2**33 and a count.  Memory: ``pool`` remainders.
+    task's number times 2**33 and a count.  Memory: ``pool`` remainders, and
+    the ids of the longest text, which is encoded in pieces however long it is.
+    A bin that stays short by over ``MAX_SLACK`` ids (the last ones of a task)
+    is cut at powers of two, which need no padding.
     """
     path = tokenizer_path or default_path()
     if pool < 1 or capacity < 1:
         raise ValueError("capacity and pool must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, end = encoder(path).encode_many, int(end_id).to_bytes(4, "little")
+        coder, end = encoder(path), int(end_id).to_bytes(4, "little")
         packer = _Packer(capacity, TaskContext.get().partitionId() << 33)
         held = 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_many(text.as_py() for text in batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode_many(text.as_py() for text in batch.column(1)), strict=True):
                 ids += end
                 packer.add(doc_id, ids)
                 held += len(ids)
@@ -155,11 +158,12 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
                     packer.flush(last=False)
                     if packer.waiting > pool // 2:
                         packer.flush(last=True)
-                if held >= 1 << 23:
+                if held >= 1 << 22:
                     yield packer.take()
                     held = 0
         packer.flush(last=True)
         yield packer.take()
+        coder.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text")).mapInArrow(run, PIECE_SCHEMA)
 

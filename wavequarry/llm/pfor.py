@@ -167,7 +167,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
     Columns read: doc_id, text; others are ignored.  A null text is empty and
     holds the end id alone; a null doc_id sorts first and stays null; rows
     with one doc_id are ordered by a hash of their text, equal rows are all
-    kept.  An empty table gives no segments.  Shard numbers ascend with
+    kept.  An empty table gives no segments.  A text of any length is one
+    document of one segment, whose bytes must stay under Arrow's 2 GB: about
+    500 million ids.  Shard numbers ascend with
     doc_id, segment numbers with the order within a shard.
     """
     path = tokenizer_path or default_path()
@@ -181,7 +183,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode_many, end = encoder(path).encode_many, int(end_id).to_bytes(4, "little")
+        coder, end = encoder(path), int(end_id).to_bytes(4, "little")
         doc_ids: list[int | None] = []
         held: list[bytes] = []
         segment, start, size = 0, 0, 0
@@ -193,7 +195,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_many(text.as_py() for text in batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode_many(text.as_py() for text in batch.column(1)), strict=True):
                 ids += end
                 doc_ids.append(doc_id)
                 held.append(ids)
@@ -203,6 +205,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id:
                     segment, start, size, doc_ids, held = segment + 1, start + size, 0, [], []
         if doc_ids:
             yield flush()
+        coder.rest()
 
     return ordered.mapInArrow(run, SEGMENT_SCHEMA)
 

@@ -5,7 +5,7 @@ text of an added token is that token.  A byte-level vocabulary never
 joins a piece across a space that stands between two other characters, so
 texts are cut before such spaces.  The cuts of many texts are found at once in
 their bytes, Arrow numbers the distinct ones, only these are looked up in a
-bounded two-generation cache, and the ids of all cuts are gathered by number.
+byte-bounded two-generation cache, and the ids of all cuts are gathered by number.
 A cut made of words of letters on lines of their own, each with optional marks
 behind it, goes word by word straight to the library's merge model, and its
 words are kept as cuts of their own; every other cut goes through the whole
@@ -23,8 +23,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import release_memory
+
 #: Bytes of text whose cuts are numbered together.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
+#: Bytes that a generation of the cache holds, about, and bytes of the longest cut that it keeps.
+CACHE_BYTES, KEPT_CUT = 48 << 20, 64
 #: A space at which a text may be cut.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than ASCII, in UTF-8.
@@ -47,40 +51,48 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Key -> bytes of ids; two generations of about ``limit`` keys."""
+    """Key -> bytes of ids; two generations of about ``limit`` bytes, objects included.
+
+    Keys of over ``KEPT_CUT`` characters are made anew each time.
+    """
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > KEPT_CUT:
+            return self.make(key)
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        # a slot of the dictionary takes about 100 bytes, the two objects' heads about 90
+        self.held += 190 + len(key) + len(found)
         self[key] = found
         return found
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if self.held > self.limit:
             self.older = dict(self)
             self.clear()
+            self.held = 0
 
 
 class TextEncoder:
     """Encodes texts with one tokenizer file.
 
-    ``limit`` bounds the cuts that a generation of the cache holds between chunks.
+    ``limit`` bounds the bytes that a generation of the cache holds between chunks.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cuts = _Cache(self.encode_cut, limit)
-        self.marks = _Cache(self.whole, 10_000)
+        self.marks = _Cache(self.whole, limit // 16)
         self.alphabet = _byte_alphabet()
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.byte_level = kind == "ByteLevel" and self.tokenizer.normalizer is None
@@ -162,6 +174,12 @@ class TextEncoder:
         if held:
             yield from self._encode_pieces(held)
 
+    def rest(self) -> None:
+        """Between tasks: only the newer generation stays, and freed memory goes back to the system."""
+        for cache in (self.cuts, self.marks):
+            cache.older = {}
+        release_memory()
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, four bytes each."""
         return next(self.encode_many([text]))
