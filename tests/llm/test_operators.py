@@ -348,19 +348,54 @@ def test_substring_dedup(spark, monkeypatch, chars):
 
 
 def test_crowded_prefixes_are_split(spark):
-    """A prefix that many suffixes share is dealt by longer ones; equal windows stay together."""
+    """A seed that many suffixes share is dealt by longer ones; equal windows stay together."""
     rng = random.Random(6)
-    texts = [" ".join(["a b c d", *(f"u{rng.randint(0, 10**6)}" for _ in range(12))]) for _ in range(300)]
+    hashed = lambda seed: substring.window_hashes(substring.TextBlock([seed.encode()]).words, 4, seed=2)[0]
+    seed = min((f"a{i} b c d" for i in range(500)), key=hashed)
+    texts = [" ".join([seed, *(f"u{rng.randint(0, 10**6)}" for _ in range(12))]) for _ in range(300)]
     texts += [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(100)] + texts[:5]
-    full = substring._crowded_prefixes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), 1 << 13, 200)
-    assert [int(x.sum()) for x in full] == [1, 0, 0]
     block = substring.TextBlock([t.encode() for t in texts])
     at, path = block.windows(substring.WINDOW)
+    by_seed = substring.seeds(block.words, 4)[at] == substring.mix64(np.array([hashed(seed)]) ^ np.uint64(4))[0]
+    full = substring._crowded_prefixes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), 1 << 13, int(by_seed.sum()) - 1)
+    assert [int(x.sum()) for x in full] == [1, 0, 0]
     p = substring._deal(block.words, at, 50, full)
-    shared = np.isin(at, block.first[:300])
-    assert len(np.unique(p[shared])) > 30
-    assert all(len(np.unique(p[path == k])) == 1 for k in path[shared])
-    assert len(np.unique(substring._deal(block.words, at, 50, [np.zeros(1 << 13, bool)] * 3)[shared])) == 1
+    assert by_seed.sum() > 250 and len(np.unique(p[by_seed])) > 10
+    assert all(len(np.unique(p[path == k])) == 1 for k in path[by_seed])
+    assert len(np.unique(substring._deal(block.words, at, 50, [np.zeros(1 << 13, bool)] * 3)[by_seed])) == 1
+
+
+def test_subtree_nodes():
+    """Suffixes stand in order of their windows' first appearance numbers, and neighbours of equal windows are marked."""
+    rng = random.Random(23)
+    runs = [rng.choices(["a", "b", "ab"], k=rng.randint(13, 30)) for _ in range(40)] * 2
+    data = "".join("".join(w + " " for w in r) + "\n" for r in runs).encode()
+    windows, order, same = substring.subtree(np.frombuffer(data, np.uint8))
+    assert windows.tolist() == [len(r) - 12 for r in runs]
+    paths = [tuple(r[i : i + 13]) for r in runs for i in range(len(r) - 12)]
+    assert sorted(order.tolist()) == list(range(len(paths)))
+    numbers = {"a": 0, "b": 1, "ab": 2}
+    first = {w: k for k, w in enumerate(dict.fromkeys(x for r in runs for x in r))}
+    assert set(numbers) == set(first)
+    keys = [tuple(first[w] for w in paths[k]) for k in order]
+    assert same.tolist() == [k > 0 and keys[k] == keys[k - 1] for k in range(len(keys))]
+    assert len({keys[k] for k in range(len(keys)) if not same[k]}) == int((~same).sum())
+
+
+def test_substring_dedup_by_words_not_hashes(spark, monkeypatch):
+    """Windows of different words are different though their words' hashes, and so their seeds, be the same."""
+    a, b = twin_words()
+    rows = [(k, " ".join([w] + [f"q{i}" for i in range(12)]), "s") for k, w in enumerate([a, b, a])]
+    got = substring.remove_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert by_rows(got) == brute_repeats(rows)
+    windows, _, same = substring.subtree(np.frombuffer("".join(t + " \n" for _, t, _ in rows).encode(), np.uint8))
+    assert windows.tolist() == [1, 1, 1] and same.sum() == 1
+
+
+def test_repeated_spans(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(40)), "s"), (2, "x y " + " ".join(f"w{i}" for i in range(5, 25)) + " z " + " ".join(f"w{i}" for i in range(13)), "s"), (3, None, "s")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in substring.remove_repeats(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [(2, 22), (23, 36)], 3: []}
 
 
 def test_media_round_trip(docs):
