@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -610,3 +611,44 @@ def test_text_longer_than_a_chunk():
     assert len(text) > tokens.CHUNK
     got = list(own.encode_many(["a b", text, "", "c"]))
     assert got == [own.whole(t) for t in ["a b", text, "", "c"]]
+
+
+def brute_nearest(rows, every=20, k=20):
+    """(query, rank) -> (vec_id, score) over (vec_id, vector) rows, each length by itself."""
+    out = {}
+    for q, v in rows:
+        if q % every == 0:
+            scores = sorted({(-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v)})[:k]
+            out |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_nearest_of_each_length(spark):
+    """Vectors of every length are queries and candidates among their own; one length is indexed, two are not."""
+    rng = np.random.default_rng(24)
+    rows = [(i, rng.integers(-50, 50, 8).astype(float).tolist()) for i in range(700)]
+    rows += [(1000 + i, rng.integers(-50, 50, 4).astype(float).tolist()) for i in range(60)] + [(2000 + 20 * i, [1.0 + i]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, ratio=9.0).collect()}
+    assert got == brute_nearest(rows)
+    assert len([1 for q, _ in got if q == 2000]) == 2
+
+
+def test_recall_with_many_lists(spark):
+    """The default ratio on over 64 lists: recall of at least 0.9, every query whole."""
+    rng = np.random.default_rng(25)
+    centres = rng.normal(size=(300, 32))
+    x = centres[rng.integers(0, 300, 20_000)] + 0.6 * rng.normal(size=(20_000, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist())}))
+    found = defaultdict(set)
+    for r in ann.search(df, every=100).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert len(x) // ann.PER_LIST > 64 and len(found) == 200
+    hits = 0
+    for q, got in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got) == 20
+        hits += len(got & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(found)) >= 0.9

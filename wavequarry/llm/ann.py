@@ -5,8 +5,9 @@ vector is indexed: it goes to its nearest list and, near a boundary, to the
 lists about as near.  A query walks an in-memory graph of the centroids and
 searches the lists that a distance ratio leaves, and further ones until they
 hold enough vectors; a query that still finds too few is compared with every
-vector.  Lists longer than a block
-are dealt to blocks, and so are a list's queries, so no task holds a list.
+vector of its length.  Lists grow in number with the table, up to a bound;
+those longer than a block are dealt to blocks, and so are a list's queries, so
+no task holds a list.
 The largest inner product is found as the least distance after a coordinate
 that fills every vector up to the largest norm.
 """
@@ -20,21 +21,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 K = 20
-#: Vectors that centroids are fitted on, and centroids, at most.
-SAMPLE = 20_000
-LISTS = 64
+#: Vectors that centroids are fitted on, and centroids, at most; vectors of a list, about, below that many lists.
+SAMPLE = 32_768
+LISTS = 2048
+PER_LIST = 256
+#: Vector lengths that get an index of their own, at most.
+INDEXED = 8
 REPLICAS = 4
 #: A vector also joins lists within this ratio of its nearest distance.
 CLOSURE = 1.06
 #: A query searches lists within this ratio of its nearest distance.
 RATIO = 1.25
-LIST_BLOCK, QUERY_BLOCK = 4096, 2048
+LIST_BLOCK, QUERY_BLOCK = 16_384, 8192
 
 
 def valid_vectors(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -93,28 +97,32 @@ class ListIndex:
     def walk(self, query: np.ndarray, ratio: float, held: list[int], enough: int, least: int = 8) -> list[int]:
         """Lists within the ratio of the nearest found, by best-first walk of the graph.
 
-        The next nearest follow until all hold ``enough`` vectors by ``held``,
+        The walk begins at the best of a few spread centroids.  The next
+        nearest lists follow until all hold ``enough`` vectors by ``held``,
         which counts each vector in one list.
         """
 
-        def distance(k: int) -> float:
-            return float(np.sqrt(((self.centroids[k] - query) ** 2).sum()))
+        def distances(some: np.ndarray) -> np.ndarray:
+            return np.sqrt(((self.centroids[some] - query) ** 2).sum(axis=1))
 
-        # the query points where its norm does not matter: as long as the fullest vector
-        seen = {0: distance(0)}
-        frontier = [(seen[0], 0)]
-        best = seen[0]
-        settled = 0
+        starts = np.arange(0, len(self.centroids), max(1, len(self.centroids) // 16))
+        seen = dict(zip(starts.tolist(), distances(starts).tolist(), strict=True))
+        frontier = [(d, k) for k, d in seen.items()]
+        heapq.heapify(frontier)
+        best, settled, total = frontier[0][0], 0, sum(held[k] for k in seen)
         while frontier:
             d, k = heapq.heappop(frontier)
-            if d > ratio * best and settled >= least and sum(held[n] for n in seen) >= enough:
+            if d > ratio * best and settled >= least and total >= enough:
                 break
             settled += 1
-            for n in self.near[k].tolist():
-                if n not in seen:
-                    seen[n] = distance(n)
-                    best = min(best, seen[n])
-                    heapq.heappush(frontier, (seen[n], n))
+            fresh = np.array([n for n in self.near[k].tolist() if n not in seen], np.int64)
+            if len(fresh):
+                for n, far in zip(fresh.tolist(), distances(fresh).tolist(), strict=True):
+                    if n not in seen:
+                        seen[n] = far
+                        total += held[n]
+                        best = min(best, far)
+                        heapq.heappush(frontier, (far, n))
         lists, covered = [], 0
         for k, d in sorted(seen.items(), key=lambda s: s[1]):
             if d > ratio * best and covered >= enough:
@@ -135,9 +143,10 @@ def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> Lis
     sizes = np.full(n_lists, len(filled) / n_lists)
     for _ in range(rounds):
         index.centroids = centroids
-        d = index.distances(filled) ** 2
-        spread = float(d.min(axis=1).mean())
-        own = np.argmin(d + 0.25 * spread * sizes / (len(filled) / n_lists), axis=1)
+        cuts = range(0, len(filled), 4096)
+        spread = float(np.concatenate([index.distances(filled[c : c + 4096]).min(axis=1) ** 2 for c in cuts]).mean())
+        penalty = 0.25 * spread * sizes / (len(filled) / n_lists)
+        own = np.concatenate([np.argmin(index.distances(filled[c : c + 4096]) ** 2 + penalty, axis=1) for c in cuts])
         counts = np.bincount(own, minlength=n_lists)
         sizes = 0.5 * sizes + 0.5 * counts
         sums = np.zeros_like(centroids)
@@ -147,7 +156,7 @@ def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> Lis
         centroids[full] = sums[full] / counts[full, None]
     index.centroids = centroids
     degree = min(n_lists - 1, 12)
-    d = np.sqrt(np.maximum(((centroids[:, None] - centroids[None]) ** 2).sum(-1), 0))
+    d = index.distances(centroids)
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, :degree]
     ring = (np.arange(n_lists) + 1) % n_lists  # keeps the graph in one piece
@@ -196,110 +205,127 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             yield from top_k(q[again], own[again], vectors, ids, k, 2 * reach)
 
 
+@dataclass(frozen=True)
+class _Part:
+    """Vectors of one length with an index of their own."""
+
+    dim: int
+    index: ListIndex
+
+
+def _hits(vecs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id, score: the first ``k`` of each query among ``vecs``, all of one length."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    if not vecs.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    dim = vecs.column("dim")[0].as_py()
+    # equal rows stand in the same lists and blocks: one of them is enough
+    vecs = vecs.group_by(["vec_id", "vec"]).aggregate([])
+    queries = queries.group_by(["query_id", "vec"]).aggregate([])
+    x, q = _matrix(vecs.column("vec"), dim), _matrix(queries.column("vec"), dim)
+    ids, query_ids = np.array(vecs.column("vec_id")), np.array(queries.column("query_id"))
+    of, vec_ids, scores = (np.concatenate(c) for c in zip(*top_k(q, query_ids, x, ids, k), strict=True))
+    # rows of one query_id are one query
+    order = np.lexsort((vec_ids, -scores, of))
+    of, vec_ids, scores = of[order], vec_ids[order], scores[order]
+    fresh = _fresh(of, scores, vec_ids)
+    of, vec_ids, scores = of[fresh], vec_ids[fresh], scores[fresh]
+    first = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return pa.table([pa.array(of[first], pa.int64()), pa.array(vec_ids[first], pa.int64()), pa.array(scores[first])], schema=schema)
+
+
+def _nearest(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the first ``k`` in the lists that each query is routed to.
+
+    ``posted(dim, list, vec_id, vec)`` and ``routed(dim, list, query_id,
+    vec)`` meet by list; a long list and its queries are dealt to blocks, and
+    each pair of blocks is a task's group.
+    """
+    keys = ["dim", "list"]
+    sizes = posted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("q")), keys)
+    # one row for each list that is asked, at most ``LISTS`` for each of ``INDEXED`` lengths and one for other lengths
+    sizes = materialize(sizes.select(F.col("dim").alias("s_dim"), F.col("list").alias("s_list"), F.ceil(F.col("n") / LIST_BLOCK).alias("n_blocks"), F.ceil(F.col("q") / QUERY_BLOCK).alias("q_blocks")), "lists")
+    same = (F.col("dim") == F.col("s_dim")) & (F.col("list") == F.col("s_list"))
+    left = posted.join(sizes, same).withColumn("b", F.pmod(F.xxhash64("vec_id", "vec"), F.col("n_blocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
+    right = routed.join(sizes, same).withColumn("qb", F.pmod(F.xxhash64("query_id", "vec"), F.col("q_blocks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    keys += ["b", "qb"]
+    left, right = left.select(*keys, "vec_id", "vec"), right.select(*keys, "query_id", "vec")
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _hits(a, b, k), "query_id long, vec_id long, score double")
+    # a candidate may come from several lists: it counts once; ranks are cut before the shuffle as well as after it
+    found = hits.repartition("query_id").groupBy("query_id", "vec_id", "score").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+
+
 def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sample: int = SAMPLE, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates
     are all rows but those of the query's own vec_id.  Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do rows
-    without vec_id, nor vectors of another length than the most common one
-    (the longer one of a tie).  Rows of one vec_id are one candidate for each
-    different score.  A query has ``k`` rows, or all its candidates where they
-    are fewer.  An empty table gives no rows.
+    without vec_id.  Vectors have an inner product with those of their own
+    length only, so each length is searched by itself: the ``INDEXED`` most
+    frequent ones by an index, any others against all of their length.  Rows
+    of one vec_id are one candidate for each different score.  A query has
+    ``k`` rows, or all its candidates where they are fewer.  An empty table
+    gives no rows.  A large ``ratio`` searches all lists: the exact way.
     """
-    empty = "query_id long, rank int, vec_id long, score double"
     spark = df.sparkSession
-    vectors = materialize(valid_vectors(df), "vectors")
-    sizes = vectors.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("norm2"))
-    common = sizes.orderBy(F.desc("n"), F.desc("size")).first()
-    if common is None:
-        return spark.createDataFrame([], empty)
-    dim = common["size"]
-    vectors = vectors.where(F.col("size") == dim).select("vec_id", "vec")
-    fitted = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow().column("vec"), dim)
-    index = fit_lists(fitted, min(n_lists, max(1, common["n"] // 64)), float(np.sqrt(common["norm2"])))
+    vectors = materialize(valid_vectors(df).withColumnRenamed("size", "dim"), "vectors")
+    sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("norm2")).orderBy(F.desc("n"), F.desc("dim")).limit(INDEXED).collect()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts: dict[int, _Part] = {}
+    for row in sizes:
+        if row["n"] > PER_LIST:
+            some = vectors.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
+            parts[row["dim"]] = _Part(row["dim"], fit_lists(_matrix(some.column("vec"), row["dim"]), min(n_lists, row["n"] // PER_LIST), float(np.sqrt(row["norm2"]))))
+
+    def by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims).tolist():
+                some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                for begin in range(0, some.num_rows, 8192):
+                    yield some.slice(begin, 8192)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("vec"), dim)
-                lists = index.assign(x)
-                rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
-                where = np.concatenate(lists)
-                first = np.concatenate([np.arange(len(v)) == 0 for v in lists])
-                for begin in range(0, len(rows), 10_000):
-                    part = rows[begin : begin + 10_000]
-                    taken = batch.take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(where[begin : begin + 10_000], pa.int32()), pa.array(first[begin : begin + 10_000]), taken.column("vec_id"), taken.column("vec")], ["list", "first", "vec_id", "vec"])
+        for batch in by_dim(batches):
+            part = parts.get(batch.column("dim")[0].as_py())
+            lists = part.index.assign(_matrix(batch.column("vec"), part.dim)) if part else [np.zeros(1, int)] * batch.num_rows
+            rows = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+            first = np.concatenate([np.arange(len(v)) == 0 for v in lists])
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array(np.concatenate(lists), pa.int32()), pa.array(first), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "first", "vec_id", "vec"])
+
+    posted = materialize(vectors.mapInArrow(place, "dim int, list int, first boolean, vec_id long, vec binary"), "postings")
+    # a number for each list, at most ``n_lists`` of them for each indexed length: vec_ids that it is nearest to
+    told = posted.where(F.col("first") & F.col("dim").isin(*parts)).groupBy("dim", "list").agg(F.count_distinct("vec_id").alias("held")).collect() if parts else []
+    held = {dim: [0] * len(part.index.centroids) for dim, part in parts.items()}
+    for r in told:
+        held[r["dim"]][r["list"]] = r["held"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("vec"), dim)
+        for batch in by_dim(batches):
+            part = parts.get(batch.column("dim")[0].as_py())
+            if part:
+                x = _matrix(batch.column("vec"), part.dim)
                 length = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)
-                aimed = np.hstack([x / length[:, None] * index.norm, np.zeros((len(x), 1))])
-                lists = [index.walk(q, ratio, held, k + 1) for q in aimed]
-                rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["list", "query_id", "vec"])
-
-    posted = materialize(vectors.mapInArrow(place, "list int, first boolean, vec_id long, vec binary"), "postings")
-    # two numbers for each list, at most ``n_lists`` of them: vec_ids that it is nearest to, and rows
-    told = {r["list"]: r for r in posted.groupBy("list").agg(F.count_distinct(F.when(F.col("first"), F.col("vec_id"))).alias("held"), F.count(F.lit(1)).alias("n")).collect()}
-    held = [told[n]["held"] if n in told else 0 for n in range(len(index.centroids))]
+                aimed = np.hstack([x / length[:, None] * part.index.norm, np.zeros((len(x), 1))])
+                lists = [part.index.walk(q, ratio, held[part.dim], k + 1) for q in aimed]
+            else:
+                lists = [[0]] * batch.num_rows
+            taken = batch.take(pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists])))
+            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "query_id", "vec"])
+
     queries = vectors.where(F.col("vec_id") % every == 0)
-    routed = materialize(queries.mapInArrow(route, "list int, query_id long, vec binary"), "routes")
-    asked = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
-
-    hit_type = pa.list_(pa.struct([("back", pa.float64()), ("vec_id", pa.int64())]))
-    hit_schema = pa.schema([("query_id", pa.int64()), ("hits", hit_type)])
-
-    def scan(vecs: pa.Table, queries: pa.Table) -> pa.Table:
-        if not vecs.num_rows or not queries.num_rows:
-            return hit_schema.empty_table()
-        # equal rows stand in the same lists and blocks: one of them is enough
-        vecs = vecs.group_by(["vec_id", "vec"]).aggregate([])
-        queries = queries.group_by(["query_id", "vec"]).aggregate([])
-        x, q = _matrix(vecs.column("vec"), dim), _matrix(queries.column("vec"), dim)
-        ids, query_ids = np.array(vecs.column("vec_id")), np.array(queries.column("query_id"))
-        found = list(top_k(q, query_ids, x, ids, k))
-        of, vec_ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-        # rows of one query_id are one query
-        order = np.lexsort((vec_ids, -scores, of))
-        of, vec_ids, scores = of[order], vec_ids[order], scores[order]
-        fresh = _fresh(of, scores, vec_ids)
-        of, vec_ids, scores = of[fresh], vec_ids[fresh], scores[fresh]
-        first = np.arange(len(of)) - np.searchsorted(of, of) < k
-        of, vec_ids, scores = of[first], vec_ids[first], scores[first]
-        cut = np.flatnonzero(_fresh(of))
-        structs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(vec_ids, pa.int64())], ["back", "vec_id"])
-        hits = pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)), pa.int32()), structs)
-        return pa.table([pa.array(of[cut], pa.int64()), hits.cast(hit_type)], hit_schema)
-
-    def nearest(posted: DataFrame, routed: DataFrame, list_sizes: list[int], query_sizes: list[int]) -> DataFrame:
-        """query_id and hits: the first ``k`` in the lists that each query is routed to."""
-
-        def of(sizes: list[int], block: int):
-            return F.element_at(F.array(*(F.lit(max(1, -(-n // block))) for n in sizes)), F.col("list") + 1).cast("long")
-
-        list_blocks, query_blocks = of(list_sizes, LIST_BLOCK), of(query_sizes, QUERY_BLOCK)
-        left = posted.withColumn("b", F.pmod(F.xxhash64("vec_id"), list_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), query_blocks - 1)))
-        right = routed.withColumn("qb", F.pmod(F.xxhash64("query_id"), query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), list_blocks - 1)))
-        keys = ["list", "b", "qb"]
-        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, hits array<struct<back: double, vec_id: long>>")
-        # a candidate is in REPLICAS lists at most, so the first k different ones are among these
-        merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k * REPLICAS).alias("hits"))
-        return merged.select("query_id", F.slice(F.array_distinct("hits"), 1, k).alias("hits"))
-
-    sizes_of = [told[n]["n"] if n in told else 0 for n in range(len(index.centroids))]
-    best = materialize(nearest(posted.drop("first"), routed, sizes_of, [asked.get(n, 0) for n in range(len(index.centroids))]), "hits")
-    full = best.where(F.size("hits") == k)
-    queries = queries.select(F.lit(0).alias("list"), F.col("vec_id").alias("query_id"), "vec")
-    short = materialize(queries.select("query_id").distinct().join(full.select("query_id"), "query_id", "left_anti"), "short")
-    n_short = short.count()
-    if n_short:
-        # lists do not hold k candidates of these, by repeated rows or equal scores: all vectors are one list
-        every_vector = vectors.select(F.lit(0).alias("list"), "vec_id", "vec")
-        again = materialize(queries.join(short, "query_id", "left_semi").select("list", "query_id", "vec"), "again")
-        best = full.unionByName(nearest(every_vector, again, [common["n"]], [n_short]))
-    return best.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.back")).alias("score"))
+    routed = materialize(queries.mapInArrow(route, "dim int, list int, query_id long, vec binary"), "routes")
+    best = materialize(_nearest(posted, routed, k), "hits")
+    # lists do not hold k candidates of some, by repeated rows or equal scores: all vectors of their length are one list
+    counts = best.groupBy("query_id").count().where(F.col("count") >= k)
+    indexed = queries.where(F.col("dim").isin(*parts)) if parts else queries.limit(0)
+    short = materialize(indexed.select(F.col("dim"), F.lit(0).alias("list"), F.col("vec_id").alias("query_id"), "vec").join(counts.select("query_id"), "query_id", "left_anti"), "short")
+    if not short.isEmpty():
+        again = _nearest(vectors.select("dim", F.lit(0).alias("list"), "vec_id", "vec"), short.select("dim", "list", "query_id", "vec"), k)
+        best = best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+    return best.select("query_id", "rank", "vec_id", "score")
