@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_batches
@@ -27,7 +27,8 @@ TRAINED = "assistant"
 TURN_SCHEMA = "conv_id long, turn long, formatted binary, loss_start long, loss_end long"
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-_TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
+#: Bytes scattered at a time.
+SLICE = 1 << 20
 _ESCAPED = re.compile(rb"\\([\\|n])")
 
 
@@ -52,8 +53,13 @@ def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, begin: np.ndarray, offsets: np.ndarray, raw: np.ndarray) -> None:
-    """Copy the pieces of ``raw`` to where each one begins in ``out``."""
-    out[np.arange(len(raw)) + np.repeat(begin - offsets[:-1], np.diff(offsets))] = raw
+    """Copy the pieces of ``raw`` to where each one begins in ``out``, a slice of indices at a time."""
+    shift = begin - offsets[:-1]
+    for a in range(0, len(raw), SLICE):
+        b = min(len(raw), a + SLICE)
+        first, past = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b, side="left")
+        sizes = np.diff(np.clip(offsets[first : past + 1], a, b))
+        out[np.arange(a, b) + np.repeat(shift[first:past], sizes)] = raw[a:b]
 
 
 def _stamp(out: np.ndarray, begin: np.ndarray, mark: bytes) -> None:
@@ -87,8 +93,9 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     Row by row, no shuffle: the formatted conversation is its turns one after
     another.  Only the text of an assistant's turn is under the mask (0, 0
-    elsewhere).  A null role or text is empty.  Columns read: conv_id, turn,
-    role, text.
+    elsewhere).  A null role or text is empty; every row is formatted, equal
+    ones too; an empty table gives no rows.  Columns read: conv_id, turn,
+    role, text; others of any name are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +109,18 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def parse_turns(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(role, text) of every turn of formatted bytes, unescaped."""
+    """(role, text) of every turn of formatted bytes, unescaped.
+
+    Escaped contents hold no control string, so the marks are found by a plain
+    search, in time and memory linear in the turn.
+    """
     at = 0
     while at < len(formatted):
-        found = _TURN.match(formatted, at)
-        if not found:
+        line, end = formatted.find(b"\n", at), formatted.find(END, at)
+        if not formatted.startswith(START, at) or not at < line < end or formatted.find(b"<|", at + len(START), end) >= 0:
             raise ValueError(f"no turn at byte {at}")
-        yield unescape(found[1]), unescape(found[2])
-        at = found.end()
+        yield unescape(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])
+        at = end + len(END)
 
 
 def _chars(raw: bytes) -> int:
@@ -139,11 +150,21 @@ class _Digest:
 def digest_conversations(turns: DataFrame) -> DataFrame:
     """Digests of formatted conversations, read back from their bytes.
 
-    Turns come in order of turn (null first), then of their bytes.  A task
-    streams its conversations and holds one turn and two hash states, however
-    long a conversation is.
+    Turns come in order of turn (null first), those of one number by role,
+    then text.  A task streams its conversations and holds one turn and two
+    hash states, however long a conversation is; a turn takes a few times its
+    bytes.  Equal rows are turns of their own; rows without conv_id are one
+    conversation; an empty table gives no rows.
     """
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss_start", "loss_end")
+    # role and text for ties alone: computed for the sort, not shuffled
+    content = F.substring(F.col("formatted").cast("string"), len(START) + 1, 1 << 30)
+    role = F.substring_index(content, "\n", 1)
+    text = F.substr(content, F.length(role) + 2)
+
+    def plain(c: Column) -> Column:
+        return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", plain(role), plain(text)).select("conv_id", "formatted", "loss_start", "loss_end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
