@@ -188,7 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
 
     The rows are those of smallest id hash, so that the choice is the same at
     every run.  Rows without a quality of 0 or 1 or without a document are
-    left out; a document labelled twice counts twice.
+    left out; a document labelled twice counts twice, and so does a doc_id
+    that two documents share, within the limit.  Empty tables give the model
+    of no rows, a score of one half.  Columns read: doc_id, text; doc_id,
+    quality.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -203,14 +206,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
 
     # at most ``sample`` small rows, so a broadcast of bounded size
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    got = rows.select("doc_id", "y", features(full_text()).alias("x")).toPandas().sort_values(["doc_id", "y"], kind="stable")
+    tie = F.xxhash64(full_text())
+    # a doc_id may repeat in documents: the limit holds for the joined rows too
+    got = rows.select("doc_id", "y", tie.alias("tie"), features(full_text()).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "tie").limit(sample).toPandas()
+    got = got.sort_values(["doc_id", "y", "tie"], kind="stable")
     if got.empty:
         return fit_model(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit_model(np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float))
 
 
 def with_score(docs: DataFrame, model: AdditiveModel, column: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each whole text; null counts as empty."""
+    """``docs`` with the model's score of each whole text, in ``column``.
+
+    A null text counts as empty; a text of any length is read whole, and
+    equal texts have equal scores.  Every row is kept, an empty table stays
+    empty.  A column of that name is replaced: choose another to keep it.
+    """
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
