@@ -65,10 +65,11 @@ def mix_documents(docs: DataFrame, rows: int = ROWS, keep: tuple[str, ...] = ())
     ``epochs`` whole copies and the first ``part`` words of one more make
     ``taken`` words.  Columns read: doc_id, text, source, and those in
     ``keep``, which are passed on.  A null text has size 0; a null source is
-    a source of its own, as is the empty one; equal rows are all kept and
-    tie in any order; an empty table gives no rows.
+    a source of its own, as is the empty one; rows of one doc_id and size are
+    ordered by a hash of their text, so that reruns cut the same; equal rows
+    are all kept; an empty table gives no rows.  Very long texts count whole.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(full_text()).alias("size"), *keep)
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(full_text()).alias("size"), F.xxhash64(full_text()).alias("tie"), *keep)
     if not keep:
         sized = materialize(sized, "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -80,7 +81,7 @@ def mix_documents(docs: DataFrame, rows: int = ROWS, keep: tuple[str, ...] = ())
     sums = keyed.groupBy("of", "range").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("of").alias("o_of"), F.col("range").alias("o_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keyed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = ranked.join(offsets, F.col("of").eqNullSafe(F.col("o_of")) & (F.col("range") == F.col("o_range")))
     budget = F.floor("target").cast("long")
