@@ -27,12 +27,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Vendor tokens: 30 base-62 characters, then six that hold their CRC-32.
 VENDOR = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
+#: Bech32 secret keys: 52 characters of data, then six of checksum, all of one case.
+BECH32 = re.compile(r"(AGE-SECRET-KEY-|age-secret-key-|NSEC|nsec)1([A-Z0-9]{58}|[a-z0-9]{58})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-KINDS = ["assign", "access", "hex", "vendor", "jwt"]
+KINDS = ["assign", "access", "hex", "vendor", "jwt", "bech32"]
 #: Keyword (lower case) -> kind.
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "vendor", "gho_": "vendor", "ghu_": "vendor", "ghs_": "vendor", "ghr_": "vendor", "npm_": "vendor", "eyj": "jwt",
+    "age-secret-key-1": "bech32", "nsec1": "bech32",
 }
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MARK = "[secret]"
@@ -63,6 +66,25 @@ def vendor_checksum(body: str) -> str:
     return digits
 
 
+#: Fixed values of Bech32: its alphabet, and the generators of its checksum.
+BECH32_ALPHABET = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BECH32_GENERATORS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+
+
+def bech32_remainder(prefix: str, data: str) -> int:
+    """What the checksum polynomial leaves of a prefix and its data; 1 where the checksum is right, -1 for other letters."""
+    prefix, data = prefix.lower(), data.lower()
+    places = [BECH32_ALPHABET.find(c) for c in data]
+    if min(places) < 0:
+        return -1
+    value = 1
+    for v in [*(ord(c) >> 5 for c in prefix), 0, *(ord(c) & 31 for c in prefix), *places]:
+        top, value = value >> 25, (value & 0x1FFFFFF) << 5 ^ v
+        for i, generator in enumerate(BECH32_GENERATORS):
+            value ^= generator if top >> i & 1 else 0
+    return value
+
+
 def _is_object(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
@@ -77,10 +99,12 @@ def _accepts(kind: str, found: re.Match) -> bool:
         return len(found[0]) >= 18
     if kind == "vendor":
         return vendor_checksum(found[1][:30]) == found[1][30:]
+    if kind == "bech32":
+        return found[1].isupper() == found[2].isupper() and bech32_remainder(found[1], found[2]) == 1
     return _is_object(found[1]) and _is_object(found[2])
 
 
-_PATTERNS = {"assign": ASSIGN, "access": ACCESS, "vendor": VENDOR, "jwt": JWT}
+_PATTERNS = {"assign": ASSIGN, "access": ACCESS, "vendor": VENDOR, "jwt": JWT, "bech32": BECH32}
 
 
 def _hex_runs(raw: bytes, least: int = 16) -> Iterator[tuple[int, int]]:
@@ -155,14 +179,22 @@ def secret_spans(text: Column) -> Column:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_sha256 and spans of every row, repeated ones too.
 
-    Columns read: doc_id, text; a null text has no spans.
+    Columns read: doc_id, text; others of any name are ignored.  A null or
+    empty text has no spans; a text of any length is scanned whole, at about
+    eight bytes for each of its bytes where it is not ASCII.  Spans that begin
+    together are listed in the order of ``KINDS``.  An empty table gives no
+    rows.
     """
     found = docs.select("doc_id", secret_spans(full_text()).alias("f"))
     return found.select("doc_id", "f.n_assign", "f.n_access", "f.n_hex", F.sha2("f.base", 256).alias("base_sha256"), "f.spans")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced; ``n_chars`` follows. Null stays null."""
+    """``docs`` with secrets in ``text`` replaced; ``n_chars`` follows.
+
+    A null text stays null; all rows and columns are kept, an empty table
+    stays empty.
+    """
 
     @arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
