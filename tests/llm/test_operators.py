@@ -266,10 +266,8 @@ def test_secret_checksums():
 
 
 def test_secret_queries(docs):
-    got = by_rows(secrets.scan_documents(docs))
-    assert len(got) == docs.count()
-    for (_, text, *_), row in zip(sorted(docs.collect(), key=lambda r: repr(r["doc_id"])), sorted(got, key=lambda r: repr(r[0])), strict=True):
-        assert row[5] == ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.find_secrets(text or "")) or text is not None
+    got = by_rows(secrets.scan_documents(docs).select("doc_id", "spans"))
+    assert got == sorted(((r["doc_id"], ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.find_secrets(r["text"] or ""))) for r in docs.collect()), key=repr)
     clean = secrets.redact_documents(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
 
@@ -652,3 +650,161 @@ def test_recall_with_many_lists(spark):
         assert len(got) == 20
         hits += len(got & set(np.argsort(-s)[:20].tolist()))
     assert hits / (20 * len(found)) >= 0.9
+
+
+def test_long_turn(spark):
+    """A turn of 8 MB, scattered in slices and read back; memory grows by a few times its bytes, not by its bytes times a hundred."""
+    text = ("a <| b \\ c <|im_end|>\n" + "x" * 3000) * 2700
+    turns, start, end = chat.assemble(pa.array(["assistant", "user"]), pa.array([text, "<"]))
+    raw = [t.as_py() for t in turns]
+    assert list(chat.parse_turns(b"".join(raw))) == [(b"assistant", text.encode()), (b"user", b"<")]
+    assert chat.unescape(raw[0][start[0] : end[0]]) == text.encode()
+    for broken in (b"x" + raw[1], raw[1][:-1], raw[1].replace(b"<<|", b"<|<|"), b"<|im_start|>user<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            list(chat.parse_turns(broken))
+
+
+def test_chat_ties(spark):
+    """Rows of one turn come by role, then text, as written, not as escaped."""
+    rows = [(1, 0, r, t) for r, t in [("user", "<|b"), ("user", "<z"), ("user", "<z"), ("assistant", "\\|"), ("assistant", "\\\\"), ("assistant", None), (None, "q")]]
+    rows += [(None, None, "assistant", "a"), (None, None, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["turns_sha256"] for r in chat.digest_conversations(chat.format_turns(df)).collect()}
+    for conv_id in (1, None):
+        own = sorted((r or "", t or "") for c, _, r, t in rows if c == conv_id)
+        assert got[conv_id] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+
+
+def brute_tree(grad, hess, leaves, least, ridge):
+    """The best-first tree by trying every cut of every part anew."""
+    def gain(part, cut):
+        left, right = part[: cut], part[cut:]
+        if hess[left].sum() < least or hess[right].sum() < least:
+            return 0.0
+        return sum(grad[p].sum() ** 2 / (hess[p].sum() + ridge) for p in (left, right)) - grad[part].sum() ** 2 / (hess[part].sum() + ridge)
+
+    parts = [list(range(len(grad)))]
+    while len(parts) < leaves:
+        best = max(((gain(p, c), -k, -c) for k, p in enumerate(parts) for c in range(1, len(p))), default=(0, 0, 0))
+        if best[0] <= 1e-9:
+            break
+        k, c = -best[1], -best[2]
+        parts[k : k + 1] = [parts[k][:c], parts[k][c:]]
+    out = np.empty(len(grad))
+    for p in parts:
+        out[p] = grad[p].sum() / (hess[p].sum() + ridge)
+    return out
+
+
+def test_quality_trees_are_best():
+    rng = np.random.default_rng(26)
+    for n in (1, 2, 7, 30):
+        for _ in range(30):
+            grad, hess = rng.normal(size=n), rng.uniform(0.1, 3, n)
+            assert np.allclose(quality._tree(grad, hess, 4, 1.0, 1.0), brute_tree(grad, hess, 4, 1.0, 1.0))
+
+
+def test_quality_fit_by_hand():
+    """Cyclic boosting against a slow version that keeps no tables: the margins of all rows, and scores as sums of looked-up bins."""
+    rng = np.random.default_rng(27)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=120) > 0).astype(float)
+    model = quality.fit_model(x, y, bins=6, coarse_bins=3, rounds=4, pair_rounds=0, pairs=0)
+    margin = np.full(len(y), np.log((y.sum() + 0.5) / (len(y) + 1) / (1 - (y.sum() + 0.5) / (len(y) + 1))))
+    for _ in range(4):
+        for j in range(3):
+            edges = sorted(set(np.quantile(x[:, j], [i / 6 for i in range(1, 6)])))
+            at = np.array([sum(v >= e for e in edges) for v in x[:, j]])
+            p = 1 / (1 + np.exp(-margin))
+            grad, hess = (np.array([v[at == b].sum() for b in range(len(edges) + 1)]) for v in (y - p, p * (1 - p)))
+            margin = margin + 0.1 * brute_tree(grad, hess, 4, 2.0, 1.0)[at]
+    assert np.allclose(model.margins(x), margin)
+    pairs = quality.fit_model(x, y, bins=6, coarse_bins=3, rounds=4, pair_rounds=30, pairs=3)
+    by_hand = [pairs.intercept + sum(t[sum(v >= e for e in edges)] for t, edges, v in zip(pairs.tables, pairs.edges, row, strict=True)) + sum(t[sum(row[i] >= e for e in pairs.coarse[i]), sum(row[j] >= e for e in pairs.coarse[j])] for (i, j), t in zip(pairs.pairs, pairs.pair_tables, strict=True)) for row in x]
+    assert np.allclose(pairs.margins(x), by_hand)
+    loss = lambda m: np.log1p(np.exp(-(2 * y - 1) * m.margins(x))).mean()
+    assert loss(pairs) < loss(model) < np.log(2)
+
+
+def test_quality_collects_no_more_than_its_sample(spark):
+    """A doc_id that repeats in documents does not multiply what the driver gets."""
+    docs = documents(spark, [(i % 4, f"text {i}", "s") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality.fit_model
+    try:
+        quality.fit_model = lambda x, y: seen.append(len(y)) or fit(x, y)
+        quality.train(docs, labels, sample=50)
+    finally:
+        quality.fit_model = fit
+    assert seen == [50]
+
+
+def test_bech32_secrets():
+    """Checksums by trying all last letters: exactly one of 32 is right, and other cases and letters are not."""
+    body = "qpzry9x8gf2tvdw0s3jn54khce6mua7lqpzry9x8gf2tvdw0s3jn" + "qqqqqq"
+    value = secrets.bech32_remainder("nsec", body) ^ 1
+    data = body[:-6] + "".join(secrets.BECH32_ALPHABET[value >> 5 * (5 - i) & 31] for i in range(6))
+    good = "nsec1" + data
+    assert secrets.bech32_remainder("nsec", data) == 1
+    assert [secrets.bech32_remainder("nsec", data[:-1] + c) == 1 for c in secrets.BECH32_ALPHABET].count(True) == 1
+    for text, found in ((f"key {good}.", True), (f"key {good.upper()}", True), (f"{good[:-1]}q" if data[-1] != "q" else f"{good[:-1]}p", False), (good.replace("q", "b"), False), (good + "q", False), ("NSEC1" + data, False)):
+        assert ("bech32" in [k for *_, k in secrets.find_secrets(text)]) == found, text
+    # the checksum of the published test vector
+    assert secrets.bech32_remainder("a", "2uel5l") == 1
+
+
+def test_mixing_ties(spark):
+    """Rows of one doc_id and size: reruns, however the rows are dealt, cut the same texts."""
+    rows = [(1, f"{a} {b}", "s") for a in "abcdefgh" for b in "xyz"] + [(None, f"{a} n", None) for a in "abcdefgh"]
+    runs = [by_rows(mixing.take_mix(documents(spark, order).repartition(n))) for n, order in ((1, rows), (3, rows[::-1]))]
+    assert runs[0] == runs[1]
+
+
+def test_layer_checksums_and_exact_durations():
+    """Checksums of Layers I and II by long division over their bits; the delay and padding of an Info frame leave the exact duration."""
+
+    def divided(bits):
+        value = 0xFFFF
+        for bit in bits:
+            value = (value << 1 ^ (0x8005 if (value >> 15) ^ bit else 0)) & 0xFFFF
+        return value
+
+    def bits_of(raw, n):
+        return [raw[i // 8] >> (7 - i % 8) & 1 for i in range(n)]
+
+    rng = random.Random(28)
+    # Layer I, mono, 32 kHz: 32 allocations of 4 bits; Layer II, stereo, 44.1 kHz, 192 kbit/s: 30 subbands
+    nbal = [4] * 11 + [3] * 12 + [2] * 7
+    for head, channels, table in ((bytes([0xFF, 0xFE, 0x48, 0xC0]), 1, None), (bytes([0xFF, 0xFC, 0xA0, 0x00]), 2, nbal)):
+        header = media.read_header(head)
+        for _ in range(20):
+            body = bytes(rng.choice([0, 0, 0x10, 0x5A, 0xFF]) for _ in range(header.size - 6))
+            if table is None:
+                n = 128
+            else:
+                flat, at, used = bits_of(body, 8 * 60), 0, 0
+                for width in table:
+                    for _ in range(channels):
+                        used += any(flat[at : at + width])
+                        at += width
+                n = at + 2 * used
+            crc = divided(bits_of(head[2:], 16) + bits_of(body, n)).to_bytes(2, "big")
+            frame = head + crc + body
+            good, bad = media.parse_mpeg(frame * 3), media.parse_mpeg(frame + head + bytes([crc[0] ^ 1, crc[1]]) + body + frame)
+            assert (good.checked, good.wrong, bad.checked, bad.wrong) == (3, 0, 3, 1)
+    size = media.read_header(bytes([0xFF, 0xFB, 0x90, 0xC0])).size
+    info = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(17) + b"Info" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    stream = media.parse_mpeg(info.ljust(size, b"\0") + (bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(size - 4)) * 2)
+    assert (stream.table["delay"], stream.table["padding"], len(stream.offsets)) == (576, 1000, 2)
+    assert stream.seconds == (2 * 1152 - 1576) / 44100
+
+
+def test_stored_durations_and_offsets(docs):
+    for r in media.store_texts(docs).collect():
+        stream = media.parse_mpeg(bytes(r["media"]))
+        assert r["offsets"] == stream.offsets and r["seconds"] == stream.seconds == len(stream.offsets) * 576 / 16000
+        assert all(bytes(r["media"])[o : o + 2] == b"\xff\xf2" for o in r["offsets"])
+    got = media.media_features(F.col("media"))
+    rows = media.store_texts(docs).select(got.alias("f"), "seconds", "offsets").collect()
+    assert all(r["f"]["seconds"] == r["seconds"] and r["f"]["offsets"] == r["offsets"] and r["f"]["wrong"] == 0 for r in rows)
