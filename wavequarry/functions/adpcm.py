@@ -167,8 +167,8 @@ class Ima:
 
 
 class Ms:
-    def __init__(self, predictor: int = 0, delta: int = 16, s1: int = 0, s2: int = 0):
-        (self.c1, self.c2), self.d, self.s1, self.s2 = MS_COEFFS[predictor], delta, s1, s2
+    def __init__(self, predictor: int = 0, delta: int = 16, s1: int = 0, s2: int = 0, coefficients=None):
+        (self.c1, self.c2), self.d, self.s1, self.s2 = (coefficients or MS_COEFFS)[predictor], delta, s1, s2
 
     def _move(self, predicted: int, nibble: int, most: int) -> int:
         signed = nibble - 16 if nibble & 8 else nibble
@@ -221,16 +221,17 @@ def decode_ima(data: bytes, channels: int, block: int) -> Iterator[list[int]]:
         yield from map(list, zip(*out, strict=True))
 
 
-def decode_ms(data: bytes, channels: int, block: int) -> Iterator[list[int]]:
-    """Frames of MS blocks: the two header samples, then high nibbles first."""
+def decode_ms(data: bytes, channels: int, block: int, coefficients: list[tuple[int, int]] | None = None) -> Iterator[list[int]]:
+    """Frames of MS blocks: the two header samples, then high nibbles first; a file may bring its own coefficients."""
+    coefficients = coefficients or MS_COEFFS
     for at in range(0, len(data), block):
         part = data[at : at + block]
         if len(part) < 7 * channels:
             return
-        if max(part[:channels]) > 6:
+        if max(part[:channels]) >= len(coefficients):
             raise ValueError("no such MS predictor")
         word = [int.from_bytes(part[channels + 2 * k : channels + 2 * k + 2], "little", signed=True) for k in range(3 * channels)]
-        states = [Ms(part[c], word[c], word[channels + c], word[2 * channels + c]) for c in range(channels)]
+        states = [Ms(part[c], word[c], word[channels + c], word[2 * channels + c], coefficients) for c in range(channels)]
         yield [s.s2 for s in states]
         yield [s.s1 for s in states]
         nibbles = [n for byte in part[7 * channels :] for n in (byte >> 4, byte & 15)]

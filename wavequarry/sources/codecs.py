@@ -1,7 +1,8 @@
 """Codec registry: bytes of a block range to frames, and frames to a file.
 
 ``DECODERS`` and ``ENCODERS`` are open: a further codec registers a function
-under its name.  Codecs whose libraries are absent raise ``CodecUnavailable``.
+under its name, a decoder of (bytes, fmt) to frames and an encoder of frames
+to (fmt chunk, data, whether it writes a fact chunk).  Codecs whose libraries are absent raise ``CodecUnavailable``.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ DECODERS: dict[str, Callable[[bytes, dict], np.ndarray]] = {
     **{k: _pcm(k) for k in ("u8", "i16", "i24", "i32", "i64", "f32", "f64")},
     "mulaw": _xlaw(MULAW), "alaw": _xlaw(ALAW),
     "ima": lambda data, fmt: _rows(adpcm.decode_ima(data, fmt["channels"], fmt["block_align"]), fmt["channels"]),
-    "ms": lambda data, fmt: _rows(adpcm.decode_ms(data, fmt["channels"], fmt["block_align"]), fmt["channels"]),
+    "ms": lambda data, fmt: _rows(adpcm.decode_ms(data, fmt["channels"], fmt["block_align"], fmt.get("coefficients")), fmt["channels"]),
     "flac": _flac,
     "yamaha": lambda data, fmt: _rows(adpcm.decode_yamaha(data, fmt["channels"]), fmt["channels"]),
 }
@@ -144,13 +145,13 @@ def block_bytes_and_frames(kind: str, fmt: dict) -> tuple[int, int]:
     return (0, 0) if kind not in DECODERS or kind in ("yamaha", "flac") else (channels * (BITS[kind] // 8), 1)
 
 
-def total_frames(kind: str, fmt: dict, n_bytes: int) -> int:
-    """Frames of ``n_bytes`` of data, from its length rather than the fact chunk."""
+def total_frames(kind: str, fmt: dict, n_bytes: int) -> int | None:
+    """Frames of ``n_bytes`` of data, from its length rather than the fact chunk; None where the length does not tell."""
     if kind == "yamaha":
         return n_bytes * 2 // fmt["channels"]
     size, n = block_bytes_and_frames(kind, fmt)
     if not size:
-        return 0
+        return None
     whole, rest = divmod(n_bytes, size)
     channels = fmt["channels"]
     head, first = (4, 1) if kind == "ima" else (7, 2)
@@ -176,40 +177,62 @@ def pcm_bytes(x: np.ndarray, kind: str) -> bytes:
     return x.astype(_DTYPES[kind]).tobytes()
 
 
+def _encode_pcm(kind: str):
+    def encode(frames: np.ndarray, source: str, rate: int, mask: int, bits: int | None) -> tuple[bytes, bytes, bool]:
+        channels, size = frames.shape[1], BITS[kind] // 8
+        if mask and bin(mask).count("1") != channels:
+            raise ValueError("the channel mask does not fit the channels")
+        ext, tag = None, TAGS[kind]
+        if mask:
+            ext, tag = struct.pack("<HI", BITS[kind], mask) + (riff.GUID_FLOAT if tag == 3 else riff.GUID_PCM), 0xFFFE
+        fmt = riff.fmt_bytes(tag, channels, rate, rate * channels * size, channels * size, BITS[kind], ext)
+        return fmt, pcm_bytes(convert(frames, source, kind), kind), tag != 1
+
+    return encode
+
+
+def _encode_flac(frames: np.ndarray, source: str, rate: int, mask: int, bits: int | None) -> tuple[bytes, bytes, bool]:
+    bits = bits or 16
+    data = flac.encode(convert(frames, source, "i32") >> 32 - bits, rate, bits)
+    return riff.fmt_bytes(0xF1AC, frames.shape[1], rate, max(1, len(data) * rate // max(1, len(frames))), 1, bits, b""), data, True
+
+
+def _encode_16(make):
+    """An encoder of 16-bit frames; ``make(frames, channels, rate)`` gives fmt and data."""
+
+    def encode(frames: np.ndarray, source: str, rate: int, mask: int, bits: int | None) -> tuple[bytes, bytes, bool]:
+        return *make(convert(frames, source, "i16"), frames.shape[1], rate), True
+
+    return encode
+
+
+def _xlaw_file(kind: str, codes):
+    return _encode_16(lambda x, c, rate: (riff.fmt_bytes(TAGS[kind], c, rate, rate * c, c, 8, b""), codes(x).tobytes()))
+
+
+def _ms_file(x: np.ndarray, c: int, rate: int) -> tuple[bytes, bytes]:
+    coefficients = b"".join(struct.pack("<hh", *pair) for pair in adpcm.MS_COEFFS)
+    return riff.fmt_bytes(2, c, rate, rate * c * 1024 // 2036, 1024 * c, 4, struct.pack("<HH", 2036, 7) + coefficients), adpcm.encode_ms(x.tolist(), c)
+
+
+ENCODERS: dict[str, Callable[..., tuple[bytes, bytes, bool]]] = {
+    **{k: _encode_pcm(k) for k in ("u8", "i16", "i24", "i32", "i64", "f32", "f64")},
+    "alaw": _xlaw_file("alaw", alaw_codes), "mulaw": _xlaw_file("mulaw", mulaw_codes), "flac": _encode_flac,
+    "ima": _encode_16(lambda x, c, rate: (riff.fmt_bytes(0x11, c, rate, rate * c * 512 // 1017, 512 * c, 4, struct.pack("<H", 1017)), adpcm.encode_ima(x.tolist(), c))),
+    "ms": _encode_16(_ms_file), "yamaha": _encode_16(lambda x, c, rate: (riff.fmt_bytes(0x20, c, rate, rate * c // 2, 1024, 4, b""), adpcm.encode_yamaha(x.tolist(), c))),
+}
+
+
+def most_channels(codec: str) -> int:
+    return 18 if codec in _DTYPES or codec == "i24" else flac.MAX_CHANNELS if codec == "flac" else 2
+
+
 def encode_file(frames: np.ndarray, source: str, codec: str, rate: int, channel_mask: int = 0, meta: dict | None = None, riff_mode: str = "never", bits: int | None = None) -> bytes:
     """A whole file of (frames, channels) samples of type ``source`` in ``codec``; ``bits`` is for FLAC (16 if not given)."""
-    if codec not in TAGS:
+    if codec not in ENCODERS:
         raise CodecUnavailable(f"no encoder for {codec} is registered")
     n, channels = frames.shape
-    pcm = codec in ("u8", "i16", "i24", "i32", "i64", "f32", "f64")
-    if channels < 1 or channels > (18 if pcm else flac.MAX_CHANNELS if codec == "flac" else 2):
+    if channels < 1 or channels > most_channels(codec):
         raise ValueError(f"{codec} holds no {channels} channels")
-    if pcm and not (channel_mask and bin(channel_mask).count("1") != channels):
-        data, size = pcm_bytes(convert(frames, source, codec), codec), BITS[codec] // 8
-        ext, tag = None, TAGS[codec]
-        if channel_mask:
-            ext, tag = struct.pack("<HI", BITS[codec], channel_mask) + (riff.GUID_FLOAT if tag == 3 else riff.GUID_PCM), 0xFFFE
-        fmt = riff.fmt_bytes(tag, channels, rate, rate * channels * size, channels * size, BITS[codec], ext)
-        return riff.container_bytes(fmt, data, None if tag == 1 else n * channels, meta, riff_mode)
-    if pcm:
-        raise ValueError("the channel mask does not fit the channels")
-    if codec == "flac":
-        bits = bits or 16
-        data = flac.encode(convert(frames, source, "i32") >> 32 - bits, rate, bits)
-        fmt = riff.fmt_bytes(0xF1AC, channels, rate, max(1, len(data) * rate // max(1, n)), 1, bits, b"")
-        return riff.container_bytes(fmt, data, n * channels, meta, riff_mode)
-    x = convert(frames, source, "i16")
-    if codec in ("alaw", "mulaw"):
-        data = (alaw_codes if codec == "alaw" else mulaw_codes)(x).tobytes()
-        fmt = riff.fmt_bytes(TAGS[codec], channels, rate, rate * channels, channels, 8, b"")
-    elif codec == "yamaha":
-        data = adpcm.encode_yamaha(x.tolist(), channels)
-        fmt = riff.fmt_bytes(0x20, channels, rate, rate * channels // 2, 1024, 4, b"")
-    elif codec == "ima":
-        data = adpcm.encode_ima(x.tolist(), channels)
-        fmt = riff.fmt_bytes(0x11, channels, rate, rate * channels * 512 // 1017, 512 * channels, 4, struct.pack("<H", 1017))
-    else:
-        data = adpcm.encode_ms(x.tolist(), channels)
-        coeffs = b"".join(struct.pack("<hh", *c) for c in adpcm.MS_COEFFS)
-        fmt = riff.fmt_bytes(2, channels, rate, rate * channels * 1024 // 2036, 1024 * channels, 4, struct.pack("<HH", 2036, 7) + coeffs)
-    return riff.container_bytes(fmt, data, n * channels, meta, riff_mode)
+    fmt, data, tells = ENCODERS[codec](frames, source, rate, channel_mask, bits)
+    return riff.container_bytes(fmt, data, n * channels if tells else None, meta, riff_mode)

@@ -16,6 +16,14 @@ GUID_FLOAT = uuid.UUID("00000003-0000-0010-8000-00aa00389b71").bytes_le
 RESERVED_JUNK = 28
 
 
+# What stands in the extension of a format, by tag.
+EXTENSION_KINDS = {2: "adpcm-ms", 0x11: "adpcm-ima", 0x55: "mp3", 0x566F: "vorbis", 0x674F: "oggvorbis", 0x6751: "oggvorbis", 0x676F: "oggvorbis", 0x6771: "oggvorbis", 0x6750: "oggvorbis-header", 0x6770: "oggvorbis-header", 0xFFFE: "extensible"}
+EXTENSIONS = {
+    2: ("<HH", ("samples_per_block", "num_coefficients")), 0x11: ("<H", ("samples_per_block",)), 0x55: ("<HIHHH", ("id", "flags", "block_size", "frames_per_block", "codec_delay")),
+    **dict.fromkeys((0x674F, 0x6750, 0x6751, 0x676F, 0x6770, 0x6771), ("<II", ("codec_version", "vorbis_version"))), 0xFFFE: ("<HI", ("valid_bits_per_sample", "channel_mask")),
+}
+
+
 class WavError(ValueError):
     """A container that cannot be read."""
 
@@ -58,15 +66,23 @@ def parse_fmt(raw: bytes) -> dict:
     if len(raw) < 16:
         raise WavError("the fmt chunk is too short")
     tag, channels, rate, byte_rate, align, bits = struct.unpack_from("<HHIIHH", raw)
-    out = {"format_tag": tag, "channels": channels, "sample_rate": rate, "byte_rate": byte_rate, "block_align": align, "bits_per_sample": bits, "ext_len": 0, "ext_kind": None, "guid": None, "channel_mask": 0, "ext": b""}
+    out = {"format_tag": tag, "channels": channels, "sample_rate": rate, "byte_rate": byte_rate, "block_align": align, "bits_per_sample": bits, "ext_len": 0, "ext_kind": None, "guid": None, "channel_mask": 0, "ext": b"", "ext_values": {}, "coefficients": None}
     if len(raw) >= 18:
         out["ext_len"] = struct.unpack_from("<H", raw, 16)[0]
         ext = out["ext"] = raw[18 : 18 + out["ext_len"]]
         if len(ext) < out["ext_len"]:
             raise WavError("the fmt extension is too short")
-        out["ext_kind"] = {2: "adpcm-ms", 0x11: "adpcm-ima", 0x55: "mp3", 0xFFFE: "extensible"}.get(tag) if ext else None
+        out["ext_kind"] = EXTENSION_KINDS.get(tag) if ext else None
+        if ext and tag in EXTENSIONS:
+            layout, names = EXTENSIONS[tag]
+            if len(ext) < struct.calcsize(layout):
+                raise WavError(f"the extension of {out['ext_kind']} is too short")
+            out["ext_values"] = dict(zip(names, struct.unpack_from(layout, ext), strict=True))
+        if tag == 2 and ext:
+            n = min(out["ext_values"]["num_coefficients"], (len(ext) - 4) // 4)
+            out["coefficients"] = [struct.unpack_from("<hh", ext, 4 + 4 * k) for k in range(n)]
         if tag == 0xFFFE and len(ext) >= 22:
-            _, out["channel_mask"] = struct.unpack_from("<HI", ext)
+            out["channel_mask"] = out["ext_values"]["channel_mask"]
             out["guid"] = ext[6:22]
     return out
 
@@ -163,6 +179,34 @@ def adtl_rows(raw: bytes, page: str | None = None) -> list[dict]:
     return out
 
 
+def id3_frames(raw: bytes) -> list[tuple[str, str]]:
+    """(frame, text) of the text frames of an ID3v2.3 or 2.4 tag, in order."""
+    if raw[:3] != b"ID3" or len(raw) < 10 or raw[3] not in (3, 4):
+        return []
+    whole = lambda b: sum((x & 127) << s for x, s in zip(b, (21, 14, 7, 0), strict=True))
+    out, at, end = [], 10, min(len(raw), 10 + whole(raw[6:10]))
+    if raw[5] & 0x40:  # an extended header
+        at += whole(raw[10:14]) if raw[3] == 4 else 4 + int.from_bytes(raw[10:14], "big")
+    while at + 10 <= end and raw[at]:
+        n = whole(raw[at + 4 : at + 8]) if raw[3] == 4 else int.from_bytes(raw[at + 4 : at + 8], "big")
+        body = raw[at + 10 : min(end, at + 10 + n)]
+        if raw[at : at + 1] == b"T" and body:
+            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace")
+            out.append((raw[at : at + 4].decode("latin-1"), text.rstrip("\0")))
+        at += 10 + n
+    return out
+
+
+def id3_bytes(frames: list[tuple[str, str]]) -> bytes:
+    """An ID3v2.4 tag of text frames in UTF-8."""
+
+    def whole(n: int) -> bytes:
+        return bytes(n >> s & 127 for s in (21, 14, 7, 0))
+
+    body = b"".join(name.encode() + whole(1 + len(text.encode())) + b"\0\0\3" + text.encode() for name, text in frames)
+    return b"ID3\4\0\0" + whole(len(body)) + body
+
+
 _PARSERS: dict[bytes, tuple[str, Callable]] = {
     b"bext": ("bext", _bext), b"smpl": ("smpl", _smpl), b"inst": ("inst", _inst), b"INST": ("inst", _inst), b"acid": ("acid", _acid),
     b"Trkn": ("trkn", _trkn), b"cue ": ("cues", _cue), b"plst": ("plst", _plst), b"slnt": ("slnt", lambda raw, page: struct.unpack_from("<I", raw)[0]),
@@ -185,7 +229,10 @@ def read_header(read: Callable[[int, int], bytes], length: int, metadata: bool =
     meta: dict = {"info": {}, "adtl": [], "junk": []}
     corrupt: list[str] = []
     at = 12
-    while at + 8 <= length:
+    # what stands behind the container's own length is not part of it; 0 and -1 are lengths not known
+    end = 8 + int.from_bytes(top[4:8], "little")
+    end = length if container == "RF64" or end - 8 in (0, 0xFFFFFFFF) else min(end, length)
+    while at + 8 <= end:
         flag, size = struct.unpack("<4sI", read(at, 8))
         body = at + 8
         if flag == b"data" and container == "RF64" and ds64:
@@ -196,6 +243,8 @@ def read_header(read: Callable[[int, int], bytes], length: int, metadata: bool =
             if ds64 or size < 28:
                 raise WavError("ds64 is repeated or too short")
             ds64 = struct.unpack("<QQ", read(body, 16))
+            if container == "RF64" and ds64[0]:
+                end = min(length, 8 + ds64[0])
         elif flag == b"fmt ":
             if fmt is not None:
                 raise WavError("fmt is repeated")

@@ -1,21 +1,29 @@
 """The ``wav`` data source.
 
 ``spark.read.format("wav").option("view", v).load(path)`` reads files at one
-of the grains ``files chunks blocks frames cues plst adtl info``.  Filters on
+of the grains ``files chunks blocks frames mono stereo cues plst adtl info
+junk id3 hash``.  Filters on
 ``path``, ``frame_idx`` and ``block_idx`` are pushed into the reader, which
 then reads only the byte ranges they leave.  Large files are split by size at
-planning; headers are read in the tasks.
+planning; headers are read in the tasks.  A file that cannot be read is a row
+of the ``files`` view with its ``error``; other views go on without it, and
+mode ``FAILFAST`` stops.
 
-``df.write.format("wav")`` writes rows of (path, content): each file is
-written beside its target and moved there, so a retried task leaves no part.
+``df.write.format("wav")`` writes rows of (path, content): files are written
+to a folder of the job and moved at its end, so that failed and retried tasks
+leave nothing; ``overwrite`` then replaces what was there.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -38,7 +46,7 @@ VIEWS = {
         "inst struct<base_note:smallint,detune:smallint,gain:smallint,low_note:smallint,high_note:smallint,low_velocity:smallint,high_velocity:smallint>, "
         "acid struct<flags:bigint,root_node:int,num_beats:bigint,meter_denominator:int,meter_numerator:int,tempo:float>, trkn struct<track_no:int,total_tracks:int>, "
         f"smpl struct<manufacturer:bigint,product:bigint,sample_period:bigint,midi_unity_note:bigint,midi_pitch_fraction:bigint,smpte_format:bigint,smpte_offset:bigint,sampler_data:bigint,loops:{_LOOPS}>, "
-        "axml string, ixml string, id3 binary, info map<string,string>, corrupt_chunks array<string>"
+        "axml string, ixml string, id3 binary, info map<string,string>, corrupt_chunks array<string>, fmt_ext map<string,bigint>, error string"
     ),
     "chunks": "path string, ordinal int, flag string, offset bigint, size bigint, payload binary",
     "blocks": "path string, block_idx bigint, first_frame bigint, n_frames int, payload binary",
@@ -46,13 +54,51 @@ VIEWS = {
     "plst": "path string, ordinal int, cue_point_id bigint, num_samples bigint, repeats bigint",
     "adtl": "path string, ordinal int, kind string, cue_point_id bigint, data string, sample_length bigint, purpose_id string, country int, language int, dialect int, code_page int, media_type bigint, file_data binary",
     "info": "path string, key string, value string",
+    "junk": "path string, ordinal int, size bigint, payload binary",
+    "id3": "path string, ordinal int, frame string, value string",
+    "hash": "path string, offset bigint, length bigint, sha256 string",
 }
+#: Views at the grain of a frame.
+FRAME_VIEWS = ("frames", "mono", "stereo")
+ARROW_TYPES = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "float": pa.float32(), "double": pa.float64()}
 
 
-def _frames_schema(sample_type: str) -> str:
-    return f"path string, frame_idx bigint, samples array<{SPARK_TYPES[sample_type]}>"
+def _frames_schema(sample_type: str, view: str = "frames") -> str:
+    kind = SPARK_TYPES[sample_type]
+    return f"path string, frame_idx bigint, {({'frames': f'samples array<{kind}>', 'mono': f'sample {kind}', 'stereo': f'l {kind}, r {kind}'})[view]}"
 
 
+def mono(x: np.ndarray, target: str) -> np.ndarray:
+    """(frames,) mean of all channels; integers lose the fraction."""
+    if x.shape[1] == 1:
+        return x[:, 0]
+    mean = x.astype(np.float64).mean(axis=1)
+    return mean.astype(x.dtype) if target[0] == "f" else np.trunc(mean).astype(np.int64)
+
+
+def stereo(x: np.ndarray, target: str, mask: int = 0) -> np.ndarray:
+    """(frames, 2): mono twice, stereo as it is, more channels mixed down by the mask's speakers."""
+    if x.shape[1] == 1:
+        return np.repeat(x, 2, axis=1)
+    if x.shape[1] == 2:
+        return x
+    from wavequarry.functions.spec import DEFAULT_MASKS
+    from wavequarry.operators.waveform import gains
+
+    weights = np.array(gains(mask or DEFAULT_MASKS[x.shape[1]]))
+    if weights.shape[1] != x.shape[1]:
+        raise ValueError("the channel mask does not fit the channels")
+    mixed = x.astype(np.float64) @ weights.T
+    if target[0] == "f":
+        return mixed.astype(x.dtype)
+    low, high = codecs._range(target)
+    return np.clip(np.trunc(mixed), low, high).astype(np.int64)
+
+
+def _samples(x: np.ndarray, target: str) -> pa.Array:
+    kind = ARROW_TYPES[SPARK_TYPES[target]]
+    return pa.array(x.tolist(), kind) if target == "u64" else pa.array(np.ascontiguousarray(x), pa.from_numpy_dtype(x.dtype)).cast(kind)
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -82,7 +128,7 @@ class WavReader(DataSourceReader):
         self.least, self.past = 0, 1 << 62
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        grain = {"frames": "frame_idx", "blocks": "block_idx"}.get(self.view)
+        grain = "frame_idx" if self.view in FRAME_VIEWS else "block_idx" if self.view == "blocks" else None
         for f in filters:
             name = getattr(f, "attribute", ())
             value = getattr(f, "value", None)
@@ -102,7 +148,7 @@ class WavReader(DataSourceReader):
         for path, n in list_files(self.options["path"], self.options.get("pattern", "*.wav")):
             if self.paths is not None and path not in self.paths:
                 continue
-            if n > limit and self.view in ("frames", "blocks"):
+            if n > limit and self.view in (*FRAME_VIEWS, "blocks"):
                 parts = -(-n // limit)
                 out += [WavSplit([(path, n)], k, parts) for k in range(parts)]
                 continue
@@ -123,10 +169,12 @@ class WavReader(DataSourceReader):
                     return handle.read(n)
 
                 try:
-                    header = riff.read_header(fetch, length, self.view not in ("frames", "blocks", "chunks"), self.options.get("codepage"), mode)
-                except riff.WavError:
+                    header = riff.read_header(fetch, length, self.view not in (*FRAME_VIEWS, "blocks", "chunks", "hash"), self.options.get("codepage"), mode)
+                except riff.WavError as error:
                     if mode == "FAILFAST":
                         raise
+                    if self.view == "files":
+                        yield (path, None, length, *[None] * (len(self.schema) - 4), str(error))
                     continue
                 yield from getattr(self, f"_{self.view}")(path, length, header, fetch, partition)
 
@@ -149,7 +197,7 @@ class WavReader(DataSourceReader):
         if smpl:
             smpl = (*[v for k, v in smpl.items() if k != "loops"], [tuple(x.values()) for x in smpl["loops"]])
         total = flac.stream_info(fetch(h.data.offset, min(42, h.data.size)))["frames"] if kind == "flac" else codecs.total_frames(kind, f, h.data.size)
-        yield (path, h.container, length, spec, fmt, h.fact, h.data.offset, h.data.size, total, m.get("slnt"), bext, struct_of("inst"), struct_of("acid"), struct_of("trkn"), smpl, m.get("axml"), m.get("ixml"), m.get("id3"), m["info"], h.corrupt)
+        yield (path, h.container, length, spec, fmt, h.fact, h.data.offset, h.data.size, total, m.get("slnt"), bext, struct_of("inst"), struct_of("acid"), struct_of("trkn"), smpl, m.get("axml"), m.get("ixml"), m.get("id3"), m["info"], h.corrupt, f["ext_values"] or None, None)
 
     def _chunks(self, path, length, h, fetch, split):
         for k, c in enumerate(h.chunks):
@@ -171,6 +219,23 @@ class WavReader(DataSourceReader):
         for k, v in sorted(h.meta["info"].items()):
             yield path, k, v
 
+    def _junk(self, path, length, h, fetch, split):
+        for k, body in enumerate(h.meta["junk"]):
+            yield path, k, len(body), body
+
+    def _id3(self, path, length, h, fetch, split):
+        for k, (frame, value) in enumerate(riff.id3_frames(h.meta.get("id3") or b"")):
+            yield path, k, frame, value
+
+    def _hash(self, path, length, h, fetch, split):
+        """The hash of the data chunk's bytes from ``hashfrom``, ``hashlen`` of them or all."""
+        at = min(max(0, int(self.options.get("hashfrom", 0))), h.data.size)
+        n = min(int(self.options.get("hashlen", h.data.size)), h.data.size - at)
+        sha = hashlib.sha256()
+        for begin in range(0, n, 1 << 20):
+            sha.update(fetch(h.data.offset + at + begin, min(1 << 20, n - begin)))
+        yield path, at, n, sha.hexdigest()
+
     def _spans(self, h: riff.Header, split: WavSplit) -> Iterator[tuple[int, int, int, int]]:
         """(block, first frame, byte offset, bytes) of this split's blocks."""
         kind = riff.sample_kind(h.fmt)
@@ -189,18 +254,33 @@ class WavReader(DataSourceReader):
         kind = riff.sample_kind(h.fmt)
         for b, first, at, n in self._spans(h, split):
             if self.least <= b < self.past:
-                yield path, b, first, codecs.total_frames(kind, h.fmt, n), fetch(at, n)
+                payload = fetch(at, n)
+                yield path, b, first, flac.stream_info(payload)["frames"] if kind == "flac" else codecs.total_frames(kind, h.fmt, n), payload
 
     def _frames(self, path, length, h, fetch, split):
+        """Record batches of frames, one for each part that decodes by itself."""
         target, kind = self.options.get("sampletype", "f32"), riff.sample_kind(h.fmt)
         _, per_block = codecs.block_bytes_and_frames(kind, h.fmt)
         for _, first, at, n in self._spans(h, split):
             held = BLOCK_FRAMES if per_block == 1 else per_block
             if first >= self.past or (held and first + held <= self.least):
                 continue
-            for k, row in enumerate(codecs.decode(kind, fetch(at, n), h.fmt, target).tolist(), first):
-                if self.least <= k < self.past:
-                    yield path, k, row
+            x = codecs.decode(kind, fetch(at, n), h.fmt, target)
+            begin, end = max(0, self.least - first), min(len(x), self.past - first)
+            for cut in range(begin, end, 1 << 16):
+                part = x[cut : min(end, cut + (1 << 16))]
+                if self.view == "mono":
+                    columns = {"sample": _samples(mono(part, target), target)}
+                elif self.view == "stereo":
+                    both = stereo(part, target, h.fmt["channel_mask"])
+                    columns = {"l": _samples(both[:, 0], target), "r": _samples(both[:, 1], target)}
+                else:
+                    offsets = pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32())
+                    columns = {"samples": pa.ListArray.from_arrays(offsets, _samples(part.reshape(-1), target))}
+                frames = pa.array(np.arange(first + cut, first + cut + len(part)), pa.int64())
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(part), pa.string()), "frame_idx": frames, **columns})
+
+    _mono = _stereo = _frames
 
 
 @dataclass
@@ -213,31 +293,40 @@ class WavWriter(DataSourceWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = options["path"], overwrite
+        self.job = f".job-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
-        import uuid
-
         fs, local = _filesystem(self.folder)
+        base = local.rstrip("/")
+        fs.create_dir(f"{base}/{self.job}", recursive=True)
         moves = []
         for row in rows:
-            target = f"{local.rstrip('/')}/{row['path']}"
-            fs.create_dir(target.rpartition("/")[0], recursive=True)
-            part = f"{target.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+            part = f"{base}/{self.job}/{uuid.uuid4().hex}"
             with fs.open_output_stream(part) as out:
                 out.write(bytes(row["content"]))
-            moves.append((part, target))
+            moves.append((part, f"{base}/{row['path']}"))
         return Written(moves)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, _ = _filesystem(self.folder)
-        for part, target in (m for x in messages if x for m in x.moves):
-            fs.move(part, target)
+        fs, local = _filesystem(self.folder)
+        moves = [m for x in messages if x for m in x.moves]
+        with ThreadPoolExecutor(16) as pool:
+            if self.overwrite and fs.get_file_info(local).type == pafs.FileType.Directory:
+                found = fs.get_file_info(pafs.FileSelector(local, recursive=True))
+                list(pool.map(fs.delete_file, [f.path for f in found if f.type == pafs.FileType.File and f"/{self.job}/" not in f.path]))
+            for folder in sorted({target.rpartition("/")[0] for _, target in moves}):
+                fs.create_dir(folder, recursive=True)
+            list(pool.map(lambda m: fs.move(*m), moves))
+        self._clear(fs, local)
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, _ = _filesystem(self.folder)
-        for part, _ in (m for x in messages if x for m in x.moves):
-            if fs.get_file_info(part).type != pafs.FileType.NotFound:
-                fs.delete_file(part)
+        self._clear(*_filesystem(self.folder))
+
+    def _clear(self, fs: pafs.FileSystem, local: str) -> None:
+        """Remove the job's folder, with what failed and retried tasks have left in it."""
+        folder = f"{local.rstrip('/')}/{self.job}"
+        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+            fs.delete_dir(folder)
 
 
 class WavDataSource(DataSource):
@@ -247,7 +336,7 @@ class WavDataSource(DataSource):
 
     def schema(self) -> str:
         view = self.options.get("view", "frames")
-        return _frames_schema(self.options.get("sampletype", "f32")) if view == "frames" else VIEWS[view]
+        return _frames_schema(self.options.get("sampletype", "f32"), view) if view in FRAME_VIEWS else VIEWS[view]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return WavReader(dict(self.options), schema)
@@ -262,20 +351,43 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def content_column(samples, channels: int, source: str, codec: str, rate: int, **options):
-    """BINARY column: a whole file of interleaved samples of type ``source``."""
-    import numpy as np
+def _plain(value):
+    """A struct, map or list of a column as dictionaries and lists, nulls left out."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items() if v is not None}
+    if isinstance(value, list):
+        return dict(value) if value and isinstance(value[0], tuple) else [_plain(v) for v in value]
+    return int(value) if type(value).__name__ == "Decimal" else value
+
+
+def content_column(samples, channels: int, source: str, codec: str, rate: int, meta=None, **options):
+    """BINARY column: a whole file of interleaved samples of type ``source``.
+
+    ``meta``: metadata chunks of all files (a dictionary in the form of
+    ``riff.Header.meta``), or of each file (a column of structs in that form).
+    A null waveform gives null.
+    """
+    from pyspark.sql import Column
+    from pyspark.sql import functions as F
     from pyspark.sql.functions import arrow_udf
 
+    each = isinstance(meta, Column)
+
     @arrow_udf("binary")
-    def build(values: pa.Array) -> pa.Array:
+    def build(values: pa.Array, metas: pa.Array) -> pa.Array:
         out = []
-        for v in values:
+        for v, m in zip(values, metas, strict=True):
             if not v.is_valid:
                 out.append(None)
                 continue
-            flat = np.array(v.as_py(), np.float64 if source[0] == "f" else np.int64)
-            out.append(codecs.encode_file(flat[: len(flat) // channels * channels].reshape(-1, channels), source, codec, rate, **options))
+            flat = np.asarray(v.values).astype(np.float64 if source[0] == "f" else np.int64)
+            own = _plain(m.as_py()) if each else meta
+            out.append(codecs.encode_file(flat[: len(flat) // channels * channels].reshape(-1, channels), source, codec, rate, meta=own, **options))
         return pa.array(out, pa.binary())
 
-    return build(samples)
+    return build(samples, meta if each else F.lit(None).cast("int"))
+
+
+def widen(samples: np.ndarray, channels: int) -> np.ndarray:
+    """Frames of ``channels`` equal samples from one sample each: mono written to all channels."""
+    return np.repeat(np.asarray(samples).reshape(-1, 1), channels, axis=1)
