@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from wavequarry.functions import adpcm, samples, spec
 from wavequarry.operators import metadata, waveform
-from wavequarry.plans import catalogue
+from wavequarry.plans import catalogue, files  # noqa: F401  files adds its queries
 from wavequarry.sources import codecs, flac, riff, wav
 from wavequarry.streaming.codecs import yamaha_decode_stream
 
@@ -281,3 +281,66 @@ def test_spec_functions(spark):
     ).first()
     assert row[0] == "00000001-0000-0010-8000-00AA00389B71" and row[1] == 513 and row[2] == "a\0" and row[3] and row[4] == "Float" and row[5] == 3
     assert row[6] == 65536 * 44100 // 48000 and row[7] == ["front_left", "front_center"]
+
+
+def test_writer_replaces_and_leaves_nothing(spark, tmp_path):
+    """Overwrite removes what was there; a failed job leaves neither files nor its folder."""
+    wav.register(spark)
+    folder = tmp_path / "out"
+
+    def names():
+        return sorted(str(p.relative_to(folder)) for p in folder.rglob("*"))
+
+    rows = lambda *paths: spark.createDataFrame([(p, bytearray(b"x")) for p in paths], "path string, content binary").coalesce(1)
+    rows("a.wav", "sub/b.wav").write.format("wav").mode("append").save(str(folder))
+    assert names() == ["a.wav", "sub", "sub/b.wav"]
+    rows("c.wav").write.format("wav").mode("append").save(str(folder))
+    assert names() == ["a.wav", "c.wav", "sub", "sub/b.wav"]
+    rows("a.wav").write.format("wav").mode("overwrite").save(str(folder))
+    assert [n for n in names() if n.endswith(".wav")] == ["a.wav"]
+    broken = rows("d.wav", "e.wav").withColumn("content", F.when(F.col("path") == "d.wav", F.col("content")))
+    with pytest.raises(Exception):
+        broken.write.format("wav").mode("append").save(str(folder))
+    assert [n for n in names() if n.endswith(".wav")] == ["a.wav"] and not [n for n in names() if "job" in n]
+
+
+def test_container_length_and_extensions(spark, tmp_path):
+    x = np.arange(-50, 50)[:, None]
+    raw = codecs.encode_file(x, "i16", "i16", 8000)
+    assert len(riff.from_bytes(raw + riff.chunk_bytes(b"junk", b"abcd")).chunks) == len(riff.from_bytes(raw).chunks) == 2
+    streamed = raw[:4] + b"\xff\xff\xff\xff" + raw[8:]
+    assert riff.from_bytes(streamed).data.size == 200
+    ext = struct.pack("<HIHHH", 1, 2, 417, 1, 1393)
+    h = riff.from_bytes(riff.container_bytes(riff.fmt_bytes(0x55, 2, 44100, 16000, 1, 0, ext), b"mp3!"))
+    assert h.fmt["ext_kind"] == "mp3" and h.fmt["ext_values"] == {"id": 1, "flags": 2, "block_size": 417, "frames_per_block": 1, "codec_delay": 1393}
+    ogg = riff.from_bytes(riff.container_bytes(riff.fmt_bytes(0x6750, 2, 44100, 16000, 1, 0, struct.pack("<II", 5, 6) + b"head"), b""))
+    assert ogg.fmt["ext_kind"] == "oggvorbis-header" and ogg.fmt["ext_values"] == {"codec_version": 5, "vorbis_version": 6}
+    with pytest.raises(riff.WavError, match="too short"):
+        riff.from_bytes(riff.container_bytes(riff.fmt_bytes(0x55, 2, 44100, 16000, 1, 0, ext[:6]), b""))
+    assert codecs.total_frames("mp3", h.fmt, 4) is None
+    # an MS file with coefficients of its own decodes by them
+    ms = codecs.encode_file(x * 100, "i16", "ms", 8000)
+    at = ms.index(struct.pack("<hh", *adpcm.MS_COEFFS[0]))
+    other = riff.from_bytes(changed := ms[:at] + struct.pack("<hh", 128, 0) + ms[at + 4 :])
+    data = changed[other.data.offset : other.data.offset + other.data.size]
+    assert other.fmt["coefficients"][0] == (128, 0)
+    assert codecs.decode("ms", data, other.fmt, "i16").tolist() != codecs.decode("ms", data, riff.from_bytes(ms).fmt, "i16").tolist()
+    (tmp_path / "a.wav").write_bytes(codecs.encode_file(x, "i16", "flac", 8000))
+    wav.register(spark)
+    read = lambda view, **o: spark.read.format("wav").option("view", view).options(**o).load(str(tmp_path))
+    assert read("blocks").first()["n_frames"] == 100
+    (tmp_path / "b.wav").write_bytes(codecs.encode_file(wav.widen(x[:, 0], 6), "i16", "i16", 8000))
+    six = read("stereo", sampletype="i16").where(F.col("path").endswith("b.wav") & (F.col("frame_idx") >= 60)).collect()
+    assert len(six) == 40
+    gains = waveform.gains(spec.DEFAULT_MASKS[6])
+    assert sorted((r["frame_idx"], r["l"]) for r in six)[:2] == [(k, int((k - 50) * sum(gains[0]))) for k in (60, 61)]
+    assert [r["sample"] for r in read("mono", sampletype="i16").where("frame_idx = 99").collect()] == [49, 49]
+
+
+def test_id3_text():
+    frames = [("TIT2", "Größe"), ("TRCK", "3/9"), ("TALB", "x" * 300)]
+    tag = riff.id3_bytes(frames)
+    assert riff.id3_frames(tag) == frames and riff.id3_frames(b"ID3") == riff.id3_frames(b"x" * 20) == []
+    old = b"ID3\3\0\0" + bytes([0, 0, 0, 28]) + b"TIT2" + (11).to_bytes(4, "big") + b"\0\0\1" + "﻿name".encode("utf-16-le") + b"TXXX"
+    assert riff.id3_frames(old) == [("TIT2", "name")]
+    assert riff.id3_frames(tag + bytes(50)) == frames

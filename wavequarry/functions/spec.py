@@ -23,6 +23,12 @@ VORBIS_BITRATES = {
     (11025, 1): [36000, 44000, 50000, 52000, 56000, 64000, 80000, 96000, 112000, 144000, 168000],
     (11025, 2): [22000, 26000, 28000, 30000, 32000, 34000, 40000, 48000, 56000, 72000, 88000],
 }
+#: Preset -> (format tag, name of its format).
+PRESETS = {
+    "pcm": (0x0001, "PCM"), "pcm-alaw": (0x0006, "PCM-ALaw"), "pcm-ulaw": (0x0007, "PCM-MuLaw"), "adpcm-ms": (0x0002, "ADPCM-MS"), "adpcm-ima": (0x0011, "ADPCM-IMA"), "adpcm-yamaha": (0x0020, "ADPCM-YAMAHA"),
+    "mp3": (0x0055, "MP3"), "opus": (0x704F, "Opus"), "flac": (0xF1AC, "Flac"), "vorbis": (0x566F, "OggVorbis"), "oggvorbis1": (0x674F, "OggVorbis"), "oggvorbis2": (0x6750, "OggVorbis"), "oggvorbis3": (0x6751, "OggVorbis"),
+    "oggvorbis1p": (0x676F, "OggVorbis"), "oggvorbis2p": (0x6770, "OggVorbis"), "oggvorbis3p": (0x6771, "OggVorbis"),
+}
 SIZES = {"S8": 1, "S16": 2, "S24": 3, "S32": 4, "S64": 8, "U8": 1, "U16": 2, "U24": 3, "U32": 4, "U64": 8, "F32": 4, "F64": 8}
 
 
@@ -50,6 +56,24 @@ def sample_format(tag: Column, bits: Column, guid_kind: Column) -> Column:
     )
 
 
+def preset_tag(preset: Column) -> Column:
+    """The format tag of a preset's name, null for any other."""
+    return _choose({k: tag for k, (tag, _) in PRESETS.items()}, preset, F.lit(None).cast("int"))
+
+
+def format_name(tag: Column) -> Column:
+    """The name of a tag's format; ``Unspecified`` for tags of no preset."""
+    return _choose(dict(PRESETS.values()), tag, "Unspecified")
+
+
+def vorbis_tag(mode: Column, variable: Column) -> Column:
+    """The tag of a Vorbis stream: by what its file holds of the headers, and whether its bitrate varies."""
+    out = F.when(mode == "naked", 0x566F)
+    for k, name in enumerate(("original", "independent", "no_codebook"), 1):
+        out = out.when(mode == name, F.when(variable, 0x674E + k).otherwise(0x676E + k))
+    return out
+
+
 def sample_bytes(kind: Column) -> Column:
     return _choose(SIZES, kind, 0)
 

@@ -411,9 +411,15 @@ def spec_math(spark, sf_dir):
     )
 
 
-@query(f"WITH {_SPEC} SELECT k, rate, CAST(channels AS INTEGER) AS channels, CAST(CASE WHEN rate >= 44100 THEN [64000, 48000][channels] WHEN rate = 22050 THEN [56000, 36000][channels] WHEN rate = 11025 THEN [36000, 22000][channels] END AS INTEGER) AS bitrate FROM spec WHERE channels <= 2")
+_STEPS = range(11)
+_BITRATE_ROWS = ", ".join(f"({rate}, {channels}, {q}, {bits})" for (rate, channels), row in spec.VORBIS_BITRATES.items() for q, bits in zip(_STEPS, row, strict=True))
+
+
+@query(f"WITH {_SPEC} SELECT k, s.rate, CAST(s.channels AS INTEGER) AS channels, CAST(q AS INTEGER) AS step, CAST(b.bitrate AS INTEGER) AS bitrate FROM spec s CROSS JOIN range(11) AS g(q) LEFT JOIN (VALUES {_BITRATE_ROWS}) AS b(rate, channels, step, bitrate) ON b.rate = s.rate AND b.channels = s.channels AND b.step = q")
 def vorbis_bitrate(spark, sf_dir):
-    return _spec(spark, sf_dir).where("channels <= 2").select("k", "rate", "channels", spec.vorbis_bitrate(F.col("rate"), F.col("channels"), F.lit(0.0)).alias("bitrate"))
+    """The bitrate at all eleven quality steps; null for other rates and channels."""
+    steps = F.array(*[F.struct(F.lit(q).alias("step"), spec.vorbis_bitrate(F.col("rate"), F.col("channels"), F.lit(q / 10)).alias("bitrate")) for q in _STEPS])
+    return _spec(spark, sf_dir).select("k", "rate", "channels", F.explode(steps).alias("s")).select("k", "rate", "channels", "s.step", "s.bitrate")
 
 
 @query("SELECT c_custkey AS k, array_to_string(list_filter(list_transform(range(18), lambda b: CASE WHEN (c_custkey >> b) & 1 = 1 THEN CAST(1 << b AS VARCHAR) END), lambda v: v IS NOT NULL), ',') AS positions, CAST(bit_count(CAST(c_custkey AS BIGINT)) = 2 AS BOOLEAN) AS stereo FROM customer")
@@ -438,9 +444,11 @@ def junk_all_zero(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", spec.all_zero(body.cast("binary")).alias("zero"))
 
 
-@query("SELECT page_id, sha256(substr(html, 1, 4096)) AS hash FROM pages")
+@query("SELECT page_id, CAST(i AS BIGINT) AS section, sha256(substr(html, CAST(i * 4096 + 1 AS BIGINT), 4096)) AS hash FROM pages, range(0, 1000000) AS g(i) WHERE i <= length(html) // 4096")
 def section_hash(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.substring("html", 1, 4096), 256).alias("hash"))
+    """The hash of every section of 4096 characters of a page."""
+    sections = F.transform(F.sequence(F.lit(0), F.floor(F.length("html") / 4096).cast("int")), lambda i: F.struct(i.cast("long").alias("section"), F.sha2(F.substr(F.col("html"), i * 4096 + 1, F.lit(4096)), 256).alias("hash")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(sections).alias("s")).select("page_id", "s.section", "s.hash")
 
 
 @query("SELECT CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) AS frames, CAST(sum(n_chars) * 8 * 44100 // count(*) AS BIGINT) AS bitrate, lang FROM documents GROUP BY lang")
@@ -495,7 +503,7 @@ def language_lookup(spark, sf_dir):
 
 
 def _cue_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cue points of order (file) and part (id), their text entries, and a playlist of every other one."""
+    """Cue points of order (file) and part (id), their text entries, and their playlist."""
     item = table(spark, sf_dir, "lineitem")
     cues = item.select(
         F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("cue_point_id"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_suppkey")).alias("ordinal"),
@@ -509,7 +517,7 @@ def _cue_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("p_size").cast("long").alias("sample_length"), F.lit("rgn ").alias("purpose_id"), F.col("p_size").cast("int").alias("country"), (F.col("p_size") % 35).cast("int").alias("language"),
         F.lit(1).alias("dialect"), null("int").alias("code_page"), null("bigint").alias("media_type"), null("binary").alias("file_data"),
     )
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("n"))
     plst = pairs.join(orders, "path").select("path", F.lit(0).cast("long").alias("ordinal"), "cue_point_id", F.col("n").cast("long").alias("num_samples"), F.lit(2).cast("long").alias("repeats"))
     return cues, adtl, plst
 
@@ -517,7 +525,7 @@ def _cue_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(
     "WITH cue AS (SELECT l_orderkey AS path, l_partkey AS id, CAST(max(CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey) AS BIGINT) AS start_sample FROM lineitem GROUP BY ALL), "
     "j AS (SELECT c.*, p_name, p_size, p_size AS code, p_size % 35 AS l, 1 AS d, p_size % 2 = 0 AS t, coalesce(o_custkey, 0) AS num_samples, CAST(CASE WHEN o_custkey IS NULL THEN 0 ELSE 2 END AS BIGINT) AS repeats "
-    "FROM cue c JOIN part ON id = p_partkey LEFT JOIN orders ON path = o_orderkey AND o_orderkey % 2 = 0) "
+    "FROM cue c JOIN part ON id = p_partkey LEFT JOIN orders ON path = o_orderkey) "
     f"SELECT path, id AS cue_point_id, CASE WHEN t THEN '' ELSE p_name END AS label, CAST(p_size AS BIGINT) AS sample_length, CASE WHEN t THEN {_COUNTRY} ELSE '' END AS country, "
     f"CASE WHEN t THEN {_LANGUAGE} ELSE '' END AS language, CASE WHEN t THEN p_name ELSE '' END AS text_data, start_sample, num_samples, repeats FROM j"
 )
@@ -536,10 +544,10 @@ def dedupe_last(spark, sf_dir):
     return metadata.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
 
 
-@query(f"WITH {_SRC} SELECT vec_id AS path, r AS region, count(*) AS n, CAST(sum(xs[i + 1]) AS BIGINT) AS total FROM src, range(64) AS g(i), range(3) AS h(r) WHERE i >= r * 16 AND i < r * 16 + 24 AND vec_id % 2 = 0 GROUP BY ALL")
+@query(f"WITH {_SRC} SELECT vec_id AS path, r AS region, count(*) AS n, CAST(sum(xs[i + 1]) AS BIGINT) AS total FROM src, range(64) AS g(i), range(3) AS h(r) WHERE i >= r * 16 AND i < r * 16 + 24 GROUP BY ALL")
 def cue_regions(spark, sf_dir):
     """Samples by cue region: a range join."""
     frames = each(waves(spark, sf_dir), i16()).select(F.col("vec_id").alias("path"), F.col("pos").alias("frame_idx"), "sample")
-    cues = waves(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").alias("path"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("region"))
+    cues = waves(spark, sf_dir).select(F.col("vec_id").alias("path"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("region"))
     cues = cues.select("path", "region", (F.col("region") * 16).alias("start_sample"), F.lit(24).cast("long").alias("num_samples"))
     return metadata.cue_regions(frames, cues, bucket=16).groupBy("path", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("sample").alias("total"))

@@ -372,6 +372,7 @@ def content_column(samples, channels: int, source: str, codec: str, rate: int, m
     from pyspark.sql.functions import arrow_udf
 
     each = isinstance(meta, Column)
+    same = None if each else meta
 
     @arrow_udf("binary")
     def build(values: pa.Array, metas: pa.Array) -> pa.Array:
@@ -381,7 +382,7 @@ def content_column(samples, channels: int, source: str, codec: str, rate: int, m
                 out.append(None)
                 continue
             flat = np.asarray(v.values).astype(np.float64 if source[0] == "f" else np.int64)
-            own = _plain(m.as_py()) if each else meta
+            own = _plain(m.as_py()) if each else same
             out.append(codecs.encode_file(flat[: len(flat) // channels * channels].reshape(-1, channels), source, codec, rate, meta=own, **options))
         return pa.array(out, pa.binary())
 
