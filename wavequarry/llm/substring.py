@@ -156,17 +156,18 @@ class _Group:
         self.run_p[self.number], self.run_size[self.number] = p[begin], self.size
         self.least = np.full(len(seen), LAST)
         np.minimum.at(self.least, self.number, self.owner[begin])
-        self.order = np.argsort(self.run_p, kind="stable")
+        # by document within a group: their numbers then go as small differences
+        self.order = np.lexsort((self.least, self.run_p))
         self.groups, cut = np.unique(self.run_p[self.order], return_index=True)
         self.cut = np.append(cut, len(self.order))
 
     def nodes(self, g: int) -> Iterator[dict]:
         """The distinct runs of each group of seeds, and the smallest document of each run."""
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for p, a, b in zip(self.groups.tolist(), self.cut[:-1], self.cut[1:], strict=True):
             some = self.order[a:b]
             runs = b"\n".join([*(self.runs[k] for k in some), b""])
-            yield {"p": p, "g": g, "n": int(self.run_size[some].sum()), "runs": pack(runs), "owner": _owners(self.least[some])}
+            yield {"p": p, "g": g, "n": int(self.run_size[some].sum()), "runs": pack(runs), "owner": pack(np.diff(self.least[some], prepend=np.int64(0)).astype("<i8").tobytes())}
 
     def removed(self, replies: dict[int, bytes]) -> list[np.ndarray]:
         """Per document a mask of the words to remove."""
@@ -188,17 +189,6 @@ class _Group:
         return np.split(covered, np.cumsum(self.block.n_words)[:-1]) if len(self.raw) else []
 
 
-def _owners(owner: np.ndarray) -> bytes:
-    """Documents as a table and four-byte places in it."""
-    table, place = np.unique(owner, return_inverse=True)
-    return np.array([len(table)], "<i8").tobytes() + table.astype("<i8").tobytes() + place.astype("<u4").tobytes()
-
-
-def _read_owners(raw: bytes) -> np.ndarray:
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 8)[np.frombuffer(raw, "<u4", -1, 8 + 8 * n)]
-
-
 def subtree(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows of each run, suffix order, whether a suffix shares its first 13 words with the one before it in that order).
 
@@ -225,7 +215,7 @@ def _grow(table: pa.Table) -> pa.Table:
     rows = table.select(["p", "g", "n", "runs", "owner"]).to_pylist()
     unpack = zstandard.ZstdDecompressor().decompress
     windows, order, same = subtree(np.frombuffer(b"".join(unpack(r["runs"]) for r in rows), np.uint8))
-    owner = np.repeat(np.concatenate([_read_owners(r["owner"]) for r in rows]), windows)
+    owner = np.repeat(np.concatenate([np.cumsum(np.frombuffer(unpack(r["owner"]), "<i8")) for r in rows]), windows)
     node = np.flatnonzero(~same)
     least = np.minimum.reduceat(owner[order], node) if len(node) else owner
     earlier = np.empty(len(order), bool)
