@@ -808,3 +808,15 @@ def test_stored_durations_and_offsets(docs):
     got = media.media_features(F.col("media"))
     rows = media.store_texts(docs).select(got.alias("f"), "seconds", "offsets").collect()
     assert all(r["f"]["seconds"] == r["seconds"] and r["f"]["offsets"] == r["offsets"] and r["f"]["wrong"] == 0 for r in rows)
+
+
+def test_word_hashes_differ():
+    """Distinct words of all lengths, the same in any block, have distinct hashes."""
+    from wavequarry.llm.words import hash_words
+
+    rng = random.Random(29)
+    words = list({*(bytes(rng.choices(b"ab\0\xff", k=rng.randint(1, 40))) for _ in range(20_000)), b"a", b"a\0", b"a\0\0", b"x" * 8, b"x" * 9, b"x" * 16, b"x" * 17})
+    hashes = hash_words(pa.array(words, pa.binary()))
+    assert len(set(hashes.tolist())) == len(words)
+    back = hash_words(pa.array(words[::-1] + [b"more"], pa.binary()).slice(0, len(words)))
+    assert (back[::-1] == hashes).all() and len(hash_words(pa.array([], pa.binary()))) == 0

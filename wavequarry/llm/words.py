@@ -63,6 +63,24 @@ def number_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word of a binary array: of up to 16 bytes by two loads, of longer ones by xxh3."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], np.zeros(16, np.uint8)])
+    at, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    kept = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[at] & kept[np.minimum(size, 8)]
+    high = eight[np.minimum(at + 8, len(eight) - 1)] & kept[np.clip(size - 8, 0, 8)]
+    out = mix64(mix64(low ^ np.uint64(0x2545F4914F6CDD1D)) + mix64(high + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + size.astype(np.uint64))
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[at[k] : at[k] + size[k]].tobytes())
+    return out
+
+
 def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hashes of all windows of ``size`` words by the words' hashes; fewer words give none."""
     n = len(words) - size + 1
@@ -116,7 +134,7 @@ class TextBlock:
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         starts, self.offsets, self.data = split_words(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
         self.numbers, distinct = number_words(self.offsets, self.data)
-        self.distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+        self.distinct = hash_words(distinct)
         self.text_of = np.searchsorted(np.cumsum(lengths), starts, side="right")
         self.first = np.searchsorted(self.text_of, np.arange(len(texts)))
         self.n_words = np.bincount(self.text_of, minlength=len(texts))
