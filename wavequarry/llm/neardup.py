@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_batches, full_text, materialize, release_memory, spread_join
+from .common import cut_batches, discard, full_text, materialize, release_memory, spread_join, store
 from .components import connected_components
 from .words import TextBlock, mix64
 
@@ -181,8 +181,12 @@ def node_name(text: bytes) -> bytes:
 
 
 def _sketch(rows: DataFrame) -> DataFrame:
-    """row_key, text_hash, doc_id, node, size (bytes of text) and signature; null where there is no word."""
-    schema = "row_key long, text_hash long, doc_id long, node binary, size long, signature binary"
+    """row_key, text_hash, doc_id, node, number, size (bytes of text) and signature; null where there is no word.
+
+    ``number`` is the first half of the node's name.  Candidates are found by
+    it: two nodes that shared it would only be compared in vain.
+    """
+    schema = "row_key long, text_hash long, doc_id long, node binary, number long, size long, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut_batches(batches, "text", 2 << 20):
@@ -191,8 +195,8 @@ def _sketch(rows: DataFrame) -> DataFrame:
             signs = [x.tobytes() if len(s) else None for x, s in zip(signatures(shingles), shingles, strict=True)]
             nodes = [node_name(t) for t in raw]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("text_hash"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([len(t) for t in raw], pa.int64()), pa.array(signs, pa.binary())],
-                ["row_key", "text_hash", "doc_id", "node", "size", "signature"],
+                [batch.column("row_key"), batch.column("text_hash"), batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in nodes], pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(signs, pa.binary())],
+                ["row_key", "text_hash", "doc_id", "node", "number", "size", "signature"],
             )
         release_memory()
 
@@ -200,7 +204,7 @@ def _sketch(rows: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(node, key) of every band."""
+    """(number, key) of every band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,40 +213,39 @@ def _bands(nodes: DataFrame) -> DataFrame:
                 part = batch.slice(begin, 4096)
                 keys = band_keys(_signatures(part.column("signature")))
                 rows = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(rows), pa.array(keys.reshape(-1))], ["node", "key"])
+                yield pa.RecordBatch.from_arrays([part.column("number").take(rows), pa.array(keys.reshape(-1))], ["number", "key"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "node binary, key long")
+    return nodes.select("number", "signature").mapInArrow(run, "number long, key long")
 
 
 def _signatures(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _forest(meet, text: bool):
+def _forest(meet):
     """The function of a group of members: node, local_root, links and ``whole`` of each.
 
-    A component of one part is ``whole``; of larger ones the group holds one
-    part, or two whose members meet.
+    ``meet(table, rows, sides)`` gives the linked pairs of a component.  One
+    of one part is ``whole``; of larger ones the group holds one part, or two
+    whose members meet.
     """
     kinds = pa.schema([("node", pa.binary()), ("local_root", pa.binary()), ("links", pa.int64()), ("whole", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return kinds.empty_table()
         # equal rows share a node: the first row of each stands for it
         table = table.take(pa.array(np.unique(np.array(table.column("node").to_pylist(), object), return_index=True)[1]))
         node, root = (table.column(c).to_pylist() for c in ("node", "root"))
         part, copies = (table.column(c).to_numpy() for c in ("part", "copies"))
-        if not table.num_rows:
-            return kinds.empty_table()
         cross = table.column("g2")[0].as_py() not in (-1, table.column("g1")[0].as_py())
         whole = table.column("parts")[0].as_py() == 1
-        signature = _signatures(table.column("signature"))
         groups: dict[bytes, list[int]] = {}
         for k, r in enumerate(root):
             groups.setdefault(r, []).append(k)
         links, local = np.zeros(len(node), np.int64), np.arange(len(node))
         for group in map(np.array, groups.values()):
-            texts = [t.as_buffer().to_pybytes() for t in table.column("text").take(pa.array(group))] if text else None
-            left, right = meet(texts, signature[group], part[group] if cross else None)
+            left, right = meet(table, pa.array(group), part[group] if cross else None)
             np.add.at(links, group[left], copies[group[right]])
             np.add.at(links, group[right], copies[group[left]])
             local[group] = group[spanning_roots(len(group), left, right)]
@@ -267,14 +270,14 @@ def _dealt(members: DataFrame, bundles: int) -> DataFrame:
     ).drop("other")
 
 
-def _placed(members: DataFrame, nodes: DataFrame, parts) -> tuple[DataFrame, int, int]:
-    """Members (node, root) of components of several, with their node's columns and part; their number and bytes."""
-    members = members.join(nodes.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node")).drop("n_node")
+def _placed(members: DataFrame, nodes: DataFrame, key: str, parts) -> tuple[DataFrame, int, int]:
+    """Members (m, root) of components of several, with the columns of the node whose ``key`` is m, and their part; their count and bytes."""
+    members = members.join(nodes, F.col("m") == F.col(key)).drop("m")
     sizes = members.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes")).where("members > 1")
     sizes = sizes.withColumn("parts", F.ceil(parts).cast("int"))
     count, held = sizes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     placed = spread_join(members, "root", sizes.select("of", "members", "parts"), "of", "members", count).drop("of", "members")
-    return placed.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), count, held
+    return materialize(placed.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "placed"), count, held
 
 
 def _joined_roots(found: DataFrame) -> DataFrame:
@@ -301,36 +304,37 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
     in a task with few others.  A pair at the threshold is missed with a
     probability of about 1e-4 (no common band, or pruned).
     """
+    spark = docs.sparkSession
     rows = _identified(docs.select("doc_id", "text"))
-    sketch = materialize(_sketch(rows), "sketch")
-    nodes = sketch.groupBy("node").agg(
-        F.min(F.struct("row_key", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("size").alias("size")
-    )
-    nodes = materialize(nodes, "nodes")
-    keys = materialize(_bands(nodes), "bands")
-    hubs = keys.groupBy(F.col("key").alias("hub_key")).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = spread_join(keys, "key", hubs, "hub_key", "n", BANDS * nodes.count()).where(F.col("node") != F.col("hub"))
-    edges = materialize(edges.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
+    sketch, sketch_path = store(_sketch(rows), "sketch")
+    nodes = sketch.groupBy("node").agg(F.min(F.struct("row_key", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("number").alias("number"), F.first("size").alias("size"))
+    nodes = materialize(nodes.select("node", "number", "copies", "least", "size", F.col("rep.row_key").alias("k"), F.col("rep.text_hash").alias("h")), "nodes")
+    keys = _bands(sketch)
+    hubs = keys.groupBy(F.col("key").alias("hub_key")).agg(F.min("number").alias("hub"), F.max("number").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").drop("last")
+    edges = spread_join(keys, "key", hubs, "hub_key", "n", BANDS * sketch.count()).where("number <> hub")
+    edges = materialize(edges.select(F.col("number").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
     plain = nodes.select("node", "copies", "least")
-    links = roots = None
-    if not edges.isEmpty():
-        signed = nodes.select("node", "copies", "size", "signature", F.col("rep.row_key").alias("k"), F.col("rep.text_hash").alias("h"))
-        placed, count, _ = _placed(connected_components(edges), signed, F.col("members") / (8 * block))
-        meet = _dealt(placed.drop("k", "h", "size"), max(1, -(-count // SIGNATURES)))
-        left = _forest(lambda _, signature, side: candidate_pairs(signature, side, threshold), False)
+    named = sketch.select("row_key", "text_hash", "doc_id", "node")
+    if edges.isEmpty():
+        classed = plain.select("node", "least", F.col("node").alias("class"), "copies", (F.col("copies") - 1).alias("n_links"))
+    else:
+        known = nodes.drop("least")
+        placed, count, _ = _placed(connected_components(edges).withColumnRenamed("node", "m"), known, "number", F.col("members") / F.least(F.lit(8 * block), F.greatest(F.lit(block), F.col("members") / 32)))
+        same = (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("node") == F.col("of_node"))
+        signed = sketch.select("row_key", "text_hash", F.col("node").alias("of_node"), "signature").join(placed, same)
+        meet = _dealt(signed.select("node", "root", "parts", "part", "copies", "signature"), max(1, -(-count // SIGNATURES)))
+        left = _forest(lambda table, at, side: candidate_pairs(_signatures(table.column("signature").take(at)), side, threshold))
         pruned = materialize(meet.groupBy("large", "g1", "g2").applyInArrow(left, FOREST), "pruned")
-        placed, _, held = _placed(_joined_roots(pruned), signed, F.greatest(F.col("members") / block, F.least("members", F.col("bytes") / BLOCK_BYTES)))
+        named, sketch_path = _slim(spark, named, sketch_path)
+        placed, _, held = _placed(_joined_roots(pruned).withColumnRenamed("node", "m"), known, "node", F.greatest(F.col("members") / block, F.least("members", F.col("bytes") / BLOCK_BYTES)))
         texts = rows.select("row_key", "text_hash", full_text().alias("text"))
         # equal rows, and in theory others of equal hashes, come with one key: those of another name go
-        members = texts.join(placed, (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "signature", "text")
+        members = texts.join(placed, (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "text")
         members = _dealt(_named(members), max(1, -(-held // BLOCK_BYTES)))
-        exact = _forest(lambda raw, signature, side: linked_pairs(raw, side, threshold, signature), True)
+        exact = _forest(lambda table, at, side: linked_pairs([t.as_buffer().to_pybytes() for t in table.column("text").take(at)], side, threshold))
         compared = materialize(members.groupBy("large", "g1", "g2").applyInArrow(exact, FOREST), "compared")
         links = compared.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
         roots = _joined_roots(compared).select(F.col("node").alias("r_node"), F.col("root").alias("class"))
-    if links is None:
-        classed = plain.select("node", "least", F.col("node").alias("class"), "copies", (F.col("copies") - 1).alias("n_links"))
-    else:
         classed = (
             plain.join(links, F.col("node") == F.col("l_node"), "left")
             .join(roots, F.col("node") == F.col("r_node"), "left")
@@ -340,7 +344,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
     ids = classed.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
     classes = spread_join(classed, "class", ids, "c", "nodes", classed.count()).select(F.col("node").alias("c_node"), "class", "class_id", "n_links", "copies")
     # the copies of one text may be many: such nodes are joined by broadcast
-    return spread_join(sketch.select("row_key", "text_hash", "doc_id", "node"), "node", classes, "c_node", "copies", sketch.count()).select("row_key", "text_hash", "doc_id", "class", "class_id", "n_links")
+    return spread_join(named, "node", classes, "c_node", "copies", named.count()).select("row_key", "text_hash", "doc_id", "class", "class_id", "n_links")
+
+
+def _slim(spark, named: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """The names of rows as a table of their own, in place of the one with signatures."""
+    out = store(named, "named")
+    discard(spark, path)
+    return out
 
 
 def _named(members: DataFrame) -> DataFrame:
@@ -356,13 +367,21 @@ def _named(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id, rows without one last."""
+    """``docs`` with one row of each class: that of the smallest doc_id, rows without one last.
+
+    Of equal rows one stays.  Columns of any name are kept, those that begin
+    with ``__neardup_`` aside.
+    """
     classes = materialize(near_duplicate_classes(docs, threshold), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "row_key", "text_hash"))
-    kept = classes.groupBy("class").agg(first.alias("k")).select(F.col("k.row_key").alias("k_row"), F.col("k.text_hash").alias("k_hash"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "row_key", "text_hash"))
+    kept = classes.groupBy(F.col("class").alias("c")).agg(least.alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # the rows that go, most often few: a small table, which Spark then broadcasts rather than shuffle the texts
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "row_key", "text_hash")
+    several = spread_join(classes.withColumn("own", own), "class", kept, "c", "rows", classes.count())
+    gone = materialize(several.where("own <> kept").select(F.col("row_key").alias("k_row"), F.col("text_hash").alias("k_hash")).distinct(), "gone")
     key, text_hash = "__neardup_row_key", "__neardup_text_hash"
     same = (F.col(key) == F.col("k_row")) & (F.col(text_hash) == F.col("k_hash"))
-    rows = _identified(docs, key, text_hash).join(kept, same, "left_semi")
+    rows = _identified(docs, key, text_hash).join(gone, same, "left_anti")
     repeated = classes.groupBy("row_key", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
         again = repeated.select(F.col("row_key").alias("k_row"), F.col("text_hash").alias("k_hash"))

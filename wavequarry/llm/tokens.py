@@ -26,9 +26,9 @@ import pyarrow as pa
 from .common import release_memory
 
 #: Bytes of text whose cuts are numbered together.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Bytes that a generation of the cache holds, about, and bytes of the longest cut that it keeps.
-CACHE_BYTES, KEPT_CUT = 48 << 20, 64
+CACHE_BYTES, KEPT_CUT = 72 << 20, 64
 #: A space at which a text may be cut.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than ASCII, in UTF-8.
