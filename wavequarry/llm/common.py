@@ -59,19 +59,21 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def spread_join(left: DataFrame, key: str, right: DataFrame, of: str, n: str, total: int, keys: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, key: str, right: DataFrame, of: str, n: str, total: int, keys: int = 1000, merge: bool = False) -> DataFrame:
     """``left`` joined with ``right`` on ``key = of``, no key in one task.
 
     ``right`` has one row for each ``of`` and tells in ``n`` how many rows of
     ``left`` have it, ``total`` in all.  Those of more than one in ``keys``
     rows are at most ``keys`` rows of ``right``: these are broadcast, and only
-    the others are shuffled, at any size.
+    the others are joined as Spark sees fit, or with ``merge`` shuffled at any
+    size.
     """
     limit = max(64, total // keys)
     hot = right.where(F.col(n) > limit)
     marked = left.join(F.broadcast(hot.select(F.col(of).alias("__hot"))), F.col(key) == F.col("__hot"), "left")
     some = left.join(F.broadcast(hot), F.col(key) == F.col(of))
-    return some.unionByName(marked.where("__hot IS NULL").drop("__hot").join(right.where(F.col(n) <= limit).hint("merge"), F.col(key) == F.col(of)))
+    rest = right.where(F.col(n) <= limit)
+    return some.unionByName(marked.where("__hot IS NULL").drop("__hot").join(rest.hint("merge") if merge else rest, F.col(key) == F.col(of)))
 
 
 def release_memory() -> None:

@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
     near = _both_ways(edges)
     least = near.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
     moved = spread_join(near.where("b > a"), "a", least, "u", "degree", 2 * n)
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:

@@ -311,7 +311,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
     nodes = materialize(nodes.select("node", "number", "copies", "least", "size", F.col("rep.row_key").alias("k"), F.col("rep.text_hash").alias("h")), "nodes")
     keys = _bands(sketch)
     hubs = keys.groupBy(F.col("key").alias("hub_key")).agg(F.min("number").alias("hub"), F.max("number").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").drop("last")
-    edges = spread_join(keys, "key", hubs, "hub_key", "n", BANDS * sketch.count()).where("number <> hub")
+    edges = spread_join(keys, "key", hubs, "hub_key", "n", BANDS * sketch.count(), merge=True).where("number <> hub")
     edges = materialize(edges.select(F.col("number").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
     plain = nodes.select("node", "copies", "least")
     named = sketch.select("row_key", "text_hash", "doc_id", "node")
@@ -321,7 +321,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
         known = nodes.drop("least")
         placed, count, _ = _placed(connected_components(edges).withColumnRenamed("node", "m"), known, "number", F.col("members") / F.least(F.lit(8 * block), F.greatest(F.lit(block), F.col("members") / 32)))
         same = (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("node") == F.col("of_node"))
-        signed = sketch.select("row_key", "text_hash", F.col("node").alias("of_node"), "signature").join(placed, same)
+        signed = sketch.select("row_key", "text_hash", F.col("node").alias("of_node"), "signature").join(placed.hint("merge"), same)
         meet = _dealt(signed.select("node", "root", "parts", "part", "copies", "signature"), max(1, -(-count // SIGNATURES)))
         left = _forest(lambda table, at, side: candidate_pairs(_signatures(table.column("signature").take(at)), side, threshold))
         pruned = materialize(meet.groupBy("large", "g1", "g2").applyInArrow(left, FOREST), "pruned")
@@ -329,7 +329,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
         placed, _, held = _placed(_joined_roots(pruned).withColumnRenamed("node", "m"), known, "node", F.greatest(F.col("members") / block, F.least("members", F.col("bytes") / BLOCK_BYTES)))
         texts = rows.select("row_key", "text_hash", full_text().alias("text"))
         # equal rows, and in theory others of equal hashes, come with one key: those of another name go
-        members = texts.join(placed, (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "text")
+        members = texts.join(placed.hint("merge"), (F.col("row_key") == F.col("k")) & (F.col("text_hash") == F.col("h"))).select("node", "root", "parts", "part", "copies", "text")
         members = _dealt(_named(members), max(1, -(-held // BLOCK_BYTES)))
         exact = _forest(lambda table, at, side: linked_pairs([t.as_buffer().to_pybytes() for t in table.column("text").take(at)], side, threshold))
         compared = materialize(members.groupBy("large", "g1", "g2").applyInArrow(exact, FOREST), "compared")
@@ -375,13 +375,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = materialize(near_duplicate_classes(docs, threshold), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "row_key", "text_hash"))
     kept = classes.groupBy(F.col("class").alias("c")).agg(least.alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    # the rows that go, most often few: a small table, which Spark then broadcasts rather than shuffle the texts
+    # joined by shuffle at any size, as they may be most of the table
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "row_key", "text_hash")
     several = spread_join(classes.withColumn("own", own), "class", kept, "c", "rows", classes.count())
     gone = materialize(several.where("own <> kept").select(F.col("row_key").alias("k_row"), F.col("text_hash").alias("k_hash")).distinct(), "gone")
     key, text_hash = "__neardup_row_key", "__neardup_text_hash"
     same = (F.col(key) == F.col("k_row")) & (F.col(text_hash) == F.col("k_hash"))
-    rows = _identified(docs, key, text_hash).join(gone, same, "left_anti")
+    rows = _identified(docs, key, text_hash).join(gone.hint("merge"), same, "left_anti")
     repeated = classes.groupBy("row_key", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
         again = repeated.select(F.col("row_key").alias("k_row"), F.col("text_hash").alias("k_hash"))
