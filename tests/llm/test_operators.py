@@ -300,6 +300,44 @@ def test_mixing(docs):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in taken.collect()) == sum(r["taken"] for r in got)
 
 
+def brute_mix(docs):
+    """Rows (doc_id, text, source) of the mix that have words, by ordered passes over each source."""
+    word = r"[^\x20\x09-\x0D]+"
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
+    targets = {r["of"]: r["target"] for r in mixing._ranked(docs, 4096).select("of", "target").distinct().collect()}
+    out = []
+    for source, target in targets.items():
+        def order(r):
+            key = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16)
+            return key, r["doc_id"] is not None, r["doc_id"] or 0, len(re.findall(word, r["text"] or "")), r["tie"]
+
+        mine = sorted((r for r in rows if r["source"] == source), key=order)
+        left = int(target)
+        while left:
+            for r in mine:
+                ends = [m.end() for m in re.finditer(word, r["text"] or "")]
+                n = min(left, len(ends))
+                if n:
+                    out.append((r["doc_id"], r["text"] if n == len(ends) else r["text"][: ends[n - 1]], source))
+                left -= n
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, f"w{i} " * (i % 9 + 1), "hot" if i % 3 else f"s{i % 7}") for i in range(300)],
+    [(5, "a b  c", "one")] * 9 + [(None, "x y", None)] * 7 + [(None, "z\tz z", None), (8, "", "one"), (9, None, "one"), (10, "q " * 5000, "two")],
+])
+def test_take_mix_by_brute_force(spark, rows):
+    """Cuts in the middle of equal rows, of null ids, sources and texts, of long texts, over many ranges."""
+    docs = documents(spark, rows, extra=True)
+    want = sorted(brute_mix(docs), key=repr)
+    for n in (3, 10_000):
+        got = mixing.take_mix(docs, rows=n)
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"], r["source"]) for r in got.collect() if r["text"] and r["text"].split()), key=repr) == want
+    assert mixing.take_mix(documents(spark, [])).count() == 0
+
+
 def test_mixing_by_ranges_agrees(spark):
     docs = documents(spark, [(i, "w " * (i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(400)])
     assert by_rows(mixing.mix_documents(docs, rows=8)) == by_rows(mixing.mix_documents(docs, rows=10_000))

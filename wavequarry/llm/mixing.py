@@ -20,6 +20,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents of a range, about.
 ROWS = 4096
+#: The order of a source's documents.
+ORDER = ("key", "doc_id", "size", "tie")
 
 
 def word_count(text: Column) -> Column:
@@ -59,19 +61,15 @@ def source_targets(totals: DataFrame, share: float = SHARE, most: int = MOST, we
     )
 
 
-def mix_documents(docs: DataFrame, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, epochs, part, taken per document.
+def _ranked(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, size, tie, key, of, source_size, target, epochs, rest, before, nth and equal per document.
 
-    ``epochs`` whole copies and the first ``part`` words of one more make
-    ``taken`` words.  Columns read: doc_id, text, source, and those in
-    ``keep``, which are passed on.  A null text has size 0; a null source is
-    a source of its own, as is the empty one; rows of one doc_id and size are
-    ordered by a hash of their text, so that reruns cut the same; equal rows
-    are all kept; an empty table gives no rows.  Very long texts count whole.
+    Of a source's ``rest`` words beyond whole epochs, ``before`` stand before
+    the document; ``nth`` counts from 0 among the ``equal`` rows that the
+    order (key, doc_id, size, tie) does not tell apart.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(full_text()).alias("size"), F.xxhash64(full_text()).alias("tie"), *keep)
-    if not keep:
-        sized = materialize(sized, "mix-sizes")
+    text = full_text()
+    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = source_targets(totals).select(
         F.col("source").alias("of"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / rows)).cast("long").alias("ranges")
@@ -81,33 +79,72 @@ def mix_documents(docs: DataFrame, rows: int = ROWS, keep: tuple[str, ...] = ())
     sums = keyed.groupBy("of", "range").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("of").alias("o_of"), F.col("range").alias("o_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("of", "range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    alike = Window.partitionBy("of", "range", *ORDER)
     ranked = keyed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    ranked = ranked.withColumn("nth", F.row_number().over(alike.orderBy("local")) - 1).withColumn("equal", F.count(F.lit(1)).over(alike))
     joined = ranked.join(offsets, F.col("of").eqNullSafe(F.col("o_of")) & (F.col("range") == F.col("o_range")))
-    budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("local")))
-    return joined.withColumn("epochs", epochs).withColumn("part", part.cast("long")).select(
-        "doc_id", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *keep
+    rest = F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")
+    return joined.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("before", F.col("offset") + F.col("local"))
+
+
+def mix_documents(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """doc_id, size, source_size, target, epochs, part, taken per document.
+
+    ``epochs`` whole copies and the first ``part`` words of one more make
+    ``taken`` words.  Columns read: doc_id, text and source.  A null text has
+    size 0; a null source is a source of its own, as is the empty one; rows of
+    one doc_id and size are ordered by a hash of their text, so that reruns
+    cut the same; equal rows are all kept; an empty table gives no rows.  Very
+    long texts count whole.
+    """
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
+    return _ranked(docs, rows).withColumn("part", part).select(
+        "doc_id", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")
+    )
+
+
+def source_cuts(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """of, epochs, cut, cut_nth, cut_equal and cut_part of each source that has words.
+
+    What a source's rest covers are the rows before ``cut`` (a struct of
+    ``ORDER``), the first ``cut_nth`` of the ``cut_equal`` rows there, and
+    ``cut_part`` words of the next.
+    """
+    at = _ranked(docs, rows).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size")))
+    return at.select(
+        "of", "epochs", F.struct(*ORDER).alias("cut"), F.col("nth").alias("cut_nth"), F.col("equal").alias("cut_equal"), (F.col("rest") - F.col("before")).alias("cut_part")
     )
 
 
-def take_mix(docs: DataFrame) -> DataFrame:
+def take_mix(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """The mix itself: the columns of ``docs``, rows repeated by epoch.
 
     A document that the cut falls in ends after its last word taken; where
-    there is an ``n_chars`` column it follows.
+    there is an ``n_chars`` column it follows.  Texts are not shuffled: prefix
+    sums of sizes give each source's cut, and a row's place before or behind
+    it tells what is taken.  Cases are those of ``mix_documents``.
     """
-    own = docs.columns
-    mixed = mix_documents(docs.select("doc_id", "text", "source", F.struct(*own).alias("row")), keep=("row",))
-    copies = F.expr("concat(array_repeat(size, cast(epochs as int)), if(part > 0, array(part), array()))")
-    rows = mixed.select("row", "size", F.explode(copies).alias("words"))
+    own, text = docs.columns, full_text()
+    cuts = materialize(source_cuts(docs, rows), "mix-cuts")
+    named = docs.select(F.struct(*own).alias("row"), F.col("source").cast("string").alias("source"), F.struct(random_key(F.col("doc_id")).alias("key"), "doc_id", word_count(text).alias("size"), F.xxhash64(text).alias("tie")).alias("at"))
+    placed = named.join(cuts, F.col("source").eqNullSafe(F.col("of")))
+    whole = F.when(F.col("at") < F.col("cut"), F.col("at.size")).otherwise(F.lit(0))
+    if cuts.where("cut_equal > 1").isEmpty():
+        placed = placed.withColumn("part", F.when(F.col("at") == F.col("cut"), F.col("cut_part")).otherwise(whole))
+    else:
+        # only rows at a cut are numbered, in an order that reruns share
+        here = placed.where("at = cut").withColumn("nth", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64(F.to_json("row")))) - 1)
+        cut_in = F.when(F.col("nth") < F.col("cut_nth"), F.col("at.size")).when(F.col("nth") == F.col("cut_nth"), F.col("cut_part")).otherwise(F.lit(0))
+        placed = placed.where("at <> cut").withColumn("part", whole).unionByName(here.withColumn("part", cut_in).drop("nth"))
+    copies = F.expr("concat(array_repeat(at.size, cast(epochs as int)), if(part > 0, array(part), array()))")
+    taken = placed.select("row", F.col("at.size").alias("size"), F.explode(copies).alias("words"))
     # the first n words with the white space between them
     cut = F.when(F.col("words") >= F.col("size"), F.col("row.text")).otherwise(
         F.expr(r"array_join(slice(regexp_extract_all(row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(words as int)), '')")
     )
-    out = rows.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own])
+    out = taken.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in own else out
 
 
