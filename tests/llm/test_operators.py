@@ -619,6 +619,29 @@ def test_exact_shingles():
             assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(plain[i] & plain[j])
 
 
+@pytest.mark.parametrize("local", [1, 5, 1 << 16])
+@pytest.mark.parametrize("named", [False, True])
+def test_components_by_brute_force(spark, local, named):
+    """Random edges, loops, repeated ones and a long path, by forests of one edge, of some, and of all."""
+    from wavequarry.llm.components import connected_components
+
+    rng = random.Random(31)
+    edges = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(45)] + [(k + 1, k) for k in range(100, 130)] + [(7, 7), (-3, 9), (-3, 9)]
+    if named:
+        edges = [tuple(hashlib.md5(str(x).encode()).digest() for x in e) for e in edges]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    kind = "binary" if named else "long"
+    found = connected_components(spark.createDataFrame(edges, f"a {kind}, b {kind}").repartition(3), local=local).collect()
+    got = {(bytes(r["node"]), bytes(r["root"])) if named else (r["node"], r["root"]) for r in found}
+    assert got == set(root.items())
+    none = spark.createDataFrame([], f"a {kind}, b {kind}")
+    assert connected_components(none, local=local).count() == 0
+
+
 def test_components_of_a_star(spark):
     """A centre with a thousand neighbours, a long path and pairs: the root is the smallest node."""
     edges = [(0, i) for i in range(1, 1000)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5001, 5000)]

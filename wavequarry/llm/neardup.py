@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_batches, discard, full_text, materialize, release_memory, spread_join, store
-from .components import connected_components
+from .components import connected_components, spanning_roots
 from .words import TextBlock, mix64
 
 SHINGLE = 5
@@ -156,19 +156,6 @@ def linked_pairs(texts: list[bytes], side: np.ndarray | None = None, threshold:
     return left[ok], right[ok]
 
 
-def spanning_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest member of each text's component."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, left, root[right])
-        np.minimum.at(least, right, root[left])
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
-
-
 def _identified(docs: DataFrame, key: str = "row_key", text_hash: str = "text_hash") -> DataFrame:
     """Two columns more that name a row; equal rows share them."""
     text = full_text()
