@@ -38,6 +38,8 @@ REPLICAS = 4
 CLOSURE = 1.06
 #: A query searches lists within this ratio of its nearest distance.
 RATIO = 1.25
+#: Lists in which a query first searches; the others give only what is no worse than its k-th hit there.
+START = 8
 LIST_BLOCK, QUERY_BLOCK = 16_384, 8192
 
 
@@ -214,17 +216,20 @@ class _Part:
 
 
 def _hits(vecs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """query_id, vec_id, score: the first ``k`` of each query among ``vecs``, all of one length."""
+    """query_id, vec_id, score: of each query's first ``k`` among ``vecs``, all of one length, those of at least ``least``."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not vecs.num_rows or not queries.num_rows:
         return schema.empty_table()
     dim = vecs.column("dim")[0].as_py()
     # equal rows stand in the same lists and blocks: one of them is enough
     vecs = vecs.group_by(["vec_id", "vec"]).aggregate([])
-    queries = queries.group_by(["query_id", "vec"]).aggregate([])
+    queries = queries.group_by(["query_id", "vec", "least"]).aggregate([])
     x, q = _matrix(vecs.column("vec"), dim), _matrix(queries.column("vec"), dim)
     ids, query_ids = np.array(vecs.column("vec_id")), np.array(queries.column("query_id"))
     of, vec_ids, scores = (np.concatenate(c) for c in zip(*top_k(q, query_ids, x, ids, k), strict=True))
+    by_id = np.argsort(query_ids, kind="stable")
+    fine = scores >= np.array(queries.column("least"))[by_id][np.searchsorted(query_ids[by_id], of)]
+    of, vec_ids, scores = of[fine], vec_ids[fine], scores[fine]
     # rows of one query_id are one query
     order = np.lexsort((vec_ids, -scores, of))
     of, vec_ids, scores = of[order], vec_ids[order], scores[order]
@@ -234,12 +239,12 @@ def _hits(vecs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(of[first], pa.int64()), pa.array(vec_ids[first], pa.int64()), pa.array(scores[first])], schema=schema)
 
 
-def _nearest(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the first ``k`` in the lists that each query is routed to.
+def _found(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the first ``k`` in each of the lists that a query is routed to, of a score of at least ``least``.
 
-    ``posted(dim, list, vec_id, vec)`` and ``routed(dim, list, query_id,
-    vec)`` meet by list; a long list and its queries are dealt to blocks, and
-    each pair of blocks is a task's group.
+    ``posted(dim, list, vec_id, vec)`` and ``routed(dim, list, query_id, vec,
+    least)`` meet by list; a long list and its queries are dealt to blocks,
+    and each pair of blocks is a task's group.
     """
     keys = ["dim", "list"]
     sizes = posted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("q")), keys)
@@ -249,8 +254,12 @@ def _nearest(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
     left = posted.join(sizes, same).withColumn("b", F.pmod(F.xxhash64("vec_id", "vec"), F.col("n_blocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
     right = routed.join(sizes, same).withColumn("qb", F.pmod(F.xxhash64("query_id", "vec"), F.col("q_blocks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     keys += ["b", "qb"]
-    left, right = left.select(*keys, "vec_id", "vec"), right.select(*keys, "query_id", "vec")
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _hits(a, b, k), "query_id long, vec_id long, score double")
+    left, right = left.select(*keys, "vec_id", "vec"), right.select(*keys, "query_id", "vec", "least")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _hits(a, b, k), "query_id long, vec_id long, score double")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the first ``k`` of each query."""
     # a candidate may come from several lists: it counts once; ranks are cut before the shuffle as well as after it
     found = hits.repartition("query_id").groupBy("query_id", "vec_id", "score").agg(F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -316,16 +325,21 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
             else:
                 lists = [[0]] * batch.num_rows
             taken = batch.take(pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists])))
-            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array([n for v in lists for n in v], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "query_id", "vec"])
+            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array([n for v in lists for n in v], pa.int32()), pa.array([i for v in lists for i in range(len(v))], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "place", "query_id", "vec"])
 
     queries = vectors.where(F.col("vec_id") % every == 0)
-    routed = materialize(queries.mapInArrow(route, "dim int, list int, query_id long, vec binary"), "routes")
-    best = materialize(_nearest(posted, routed, k), "hits")
+    routed = materialize(queries.mapInArrow(route, "dim int, list int, place int, query_id long, vec binary"), "routes")
+    anything = F.lit(float("-inf")).alias("least")
+    first = materialize(_ranked(_found(posted, routed.where(F.col("place") < START).select("*", anything), k), k), "first-hits")
+    # what is worse than a query's k-th hit so far cannot be among its first k
+    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    others = routed.where(F.col("place") >= START).join(bounds, "query_id", "left").withColumn("least", F.coalesce("bound", F.lit(float("-inf"))))
+    best = materialize(_ranked(first.select("query_id", "vec_id", "score").unionByName(_found(posted, others, k)), k), "hits")
     # lists do not hold k candidates of some, by repeated rows or equal scores: all vectors of their length are one list
     counts = best.groupBy("query_id").count().where(F.col("count") >= k)
     indexed = queries.where(F.col("dim").isin(*parts)) if parts else queries.limit(0)
     short = materialize(indexed.select(F.col("dim"), F.lit(0).alias("list"), F.col("vec_id").alias("query_id"), "vec").join(counts.select("query_id"), "query_id", "left_anti"), "short")
     if not short.isEmpty():
-        again = _nearest(vectors.select("dim", F.lit(0).alias("list"), "vec_id", "vec"), short.select("dim", "list", "query_id", "vec"), k)
+        again = _ranked(_found(vectors.select("dim", F.lit(0).alias("list"), "vec_id", "vec"), short.select("dim", "list", "query_id", "vec", anything), k), k)
         best = best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
     return best.select("query_id", "rank", "vec_id", "score")
