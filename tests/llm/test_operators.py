@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -713,6 +714,44 @@ def test_recall_with_many_lists(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_nearest_in_pieces(spark, monkeypatch):
+    """Distances to all centroids and copies for each list are made in pieces, however many lists there are."""
+    rng = np.random.default_rng(26)
+    index = ann.ListIndex(rng.normal(size=(2048, 17)), np.zeros((2048, 0), int), 9.0)
+    x = rng.normal(size=(8192, 16))
+    tracemalloc.start()
+    lists = index.assign(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lists) == len(x) and peak < 64 << 20
+    assert all(set(a) == set(b) for i in (0, 700, 8191) for a, b in zip(lists[i : i + 1], index.assign(x[i : i + 1]), strict=True))
+
+    # vectors of 2 KB on 16 lists: a row for each list of each query of a batch would be 32 MB a thousand queries
+    x = rng.normal(size=(4096, 256))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist())})).coalesce(1)
+    mapped = type(df).mapInArrow
+
+    def watched(self, func, schema, *args):
+        def run(batches):
+            for batch in func(batches):
+                # what has one row for each row that it reads is as large as Spark makes it
+                if "list" in batch.schema.names and batch.nbytes > 8 << 20:
+                    raise MemoryError(f"{batch.nbytes} bytes in one batch")
+                yield batch
+
+        return mapped(self, run, schema, *args)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    found = defaultdict(dict)
+    for r in ann.search(df, every=1, ratio=9.0).collect():
+        found[r["query_id"]][r["rank"]] = r["vec_id"]
+    assert len(found) == len(x) and all(len(f) == 20 for f in found.values())
+    for q in range(0, len(x), 512):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [found[q][k + 1] for k in range(20)] == np.argsort(-s)[:20].tolist()
+
+
 def test_long_turn(spark):
     """A turn of 8 MB, scattered in slices and read back; memory grows by a few times its bytes, not by its bytes times a hundred."""
     text = ("a <| b \\ c <|im_end|>\n" + "x" * 3000) * 2700

@@ -7,7 +7,8 @@ searches the lists that a distance ratio leaves, and further ones until they
 hold enough vectors; a query that still finds too few is compared with every
 vector of its length.  Lists grow in number with the table, up to a bound;
 those longer than a block are dealt to blocks, and so are a list's queries, so
-no task holds a list.
+no task holds a list.  What a vector's or query's lists multiply, distances to
+all centroids and copies of a vector for each list, is made in pieces.
 The largest inner product is found as the least distance after a coordinate
 that fills every vector up to the largest norm.
 """
@@ -41,6 +42,11 @@ RATIO = 1.25
 #: Lists in which a query first searches; the others give only what is no worse than its k-th hit there.
 START = 8
 LIST_BLOCK, QUERY_BLOCK = 16_384, 8192
+#: Longest vectors that these blocks are meant for; of longer ones a block holds fewer.
+BLOCK_DIM = 64
+#: Distances that are held at once, and bytes of rows that a task hands on at once, about.
+CELLS = 1 << 20
+PIECE = 4 << 20
 
 
 def valid_vectors(df: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -91,17 +97,20 @@ class ListIndex:
 
     def assign(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: the nearest, and those about as near."""
-        d = self.distances(self.fill(x))
-        order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
-        near = np.take_along_axis(d, order, axis=1)
-        return [o[n <= CLOSURE * n[0]] for o, n in zip(order, near, strict=True)]
+        lists, step = [], max(1, CELLS // max(self.centroids.shape))
+        for begin in range(0, len(x), step):
+            d = self.distances(self.fill(x[begin : begin + step]))
+            order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS].copy()
+            near = np.take_along_axis(d, order, axis=1)
+            lists += [o[n <= CLOSURE * n[0]] for o, n in zip(order, near, strict=True)]
+        return lists
 
     def walk(self, query: np.ndarray, ratio: float, held: list[int], enough: int, least: int = 8) -> list[int]:
         """Lists within the ratio of the nearest found, by best-first walk of the graph.
 
         The walk begins at the best of a few spread centroids.  The next
         nearest lists follow until all hold ``enough`` vectors by ``held``,
-        which counts each vector in one list.
+        which counts each vector in one list.  Nearest lists come first.
         """
 
         def distances(some: np.ndarray) -> np.ndarray:
@@ -131,7 +140,7 @@ class ListIndex:
                 break
             lists.append(k)
             covered += held[k]
-        return sorted(lists)
+        return lists
 
 
 def fit_lists(x: np.ndarray, n_lists: int, norm: float, rounds: int = 12) -> ListIndex:
@@ -193,8 +202,9 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         margin = 1e-12 * longest * np.sqrt((q * q).sum(axis=1))
         row, at = np.nonzero((scores >= (least - margin)[:, None]) & (scores > -np.inf))
         exact = np.empty(len(row))
-        for cut in range(0, len(row), 1 << 15):
-            some = slice(cut, cut + (1 << 15))
+        step = max(1, 2 * CELLS // max(1, vectors.shape[1]))
+        for cut in range(0, len(row), step):
+            some = slice(cut, cut + step)
             exact[some] = np.cumsum(q[row[some]] * vectors[at[some]], axis=1)[:, -1]
         order = np.lexsort((ids[at], -exact, row))
         row, at, exact = row[order], at[order], exact[order]
@@ -207,6 +217,31 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             yield from top_k(q[again], own[again], vectors, ids, k, 2 * reach)
 
 
+def _copies(batch: pa.RecordBatch, lists: Iterator[np.ndarray | list[int]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of the batch once for each of their lists, those lists, and their places among a row's, in pieces of about ``PIECE`` bytes."""
+    limit = max(1, PIECE // (batch.nbytes // max(1, batch.num_rows) + 16))
+    rows: list[np.ndarray] = []
+    own: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    held = 0
+
+    def piece() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        return batch.take(pa.array(np.concatenate(rows))), np.concatenate(own), np.concatenate(places)
+
+    for row, of in enumerate(lists):
+        for begin in range(0, len(of), limit):
+            some = np.asarray(of[begin : begin + limit], np.int32)
+            if held + len(some) > limit and held:
+                yield piece()
+                rows, own, places, held = [], [], [], 0
+            rows.append(np.full(len(some), row))
+            own.append(some)
+            places.append(np.arange(begin, begin + len(some), dtype=np.int32))
+            held += len(some)
+    if held:
+        yield piece()
+
+
 @dataclass(frozen=True)
 class _Part:
     """Vectors of one length with an index of their own."""
@@ -249,7 +284,8 @@ def _found(posted: DataFrame, routed: DataFrame, k: int) -> DataFrame:
     keys = ["dim", "list"]
     sizes = posted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("q")), keys)
     # one row for each list that is asked, at most ``LISTS`` for each of ``INDEXED`` lengths and one for other lengths
-    sizes = materialize(sizes.select(F.col("dim").alias("s_dim"), F.col("list").alias("s_list"), F.ceil(F.col("n") / LIST_BLOCK).alias("n_blocks"), F.ceil(F.col("q") / QUERY_BLOCK).alias("q_blocks")), "lists")
+    wide = F.greatest(F.col("dim") / BLOCK_DIM, F.lit(1.0))
+    sizes = materialize(sizes.select(F.col("dim").alias("s_dim"), F.col("list").alias("s_list"), F.ceil(F.col("n") * wide / LIST_BLOCK).alias("n_blocks"), F.ceil(F.col("q") * wide / QUERY_BLOCK).alias("q_blocks")), "lists")
     same = (F.col("dim") == F.col("s_dim")) & (F.col("list") == F.col("s_list"))
     left = posted.join(sizes, same).withColumn("b", F.pmod(F.xxhash64("vec_id", "vec"), F.col("n_blocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
     right = routed.join(sizes, same).withColumn("qb", F.pmod(F.xxhash64("query_id", "vec"), F.col("q_blocks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
@@ -295,17 +331,16 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
                 some = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                for begin in range(0, some.num_rows, 8192):
-                    yield some.slice(begin, 8192)
+                step = max(1, CELLS // max(dim, 128))
+                for begin in range(0, some.num_rows, step):
+                    yield some.slice(begin, step)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_dim(batches):
             part = parts.get(batch.column("dim")[0].as_py())
             lists = part.index.assign(_matrix(batch.column("vec"), part.dim)) if part else [np.zeros(1, int)] * batch.num_rows
-            rows = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-            first = np.concatenate([np.arange(len(v)) == 0 for v in lists])
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array(np.concatenate(lists), pa.int32()), pa.array(first), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "first", "vec_id", "vec"])
+            for taken, own, places in _copies(batch, lists):
+                yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array(own), pa.array(places == 0), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "first", "vec_id", "vec"])
 
     posted = materialize(vectors.mapInArrow(place, "dim int, list int, first boolean, vec_id long, vec binary"), "postings")
     # a number for each list, at most ``n_lists`` of them for each indexed length: vec_ids that it is nearest to
@@ -321,11 +356,11 @@ def search(df: DataFrame, every: int = 20, k: int = K, n_lists: int = LISTS, sam
                 x = _matrix(batch.column("vec"), part.dim)
                 length = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)
                 aimed = np.hstack([x / length[:, None] * part.index.norm, np.zeros((len(x), 1))])
-                lists = [part.index.walk(q, ratio, held[part.dim], k + 1) for q in aimed]
+                lists = (part.index.walk(q, ratio, held[part.dim], k + 1) for q in aimed)
             else:
-                lists = [[0]] * batch.num_rows
-            taken = batch.take(pa.array(np.repeat(np.arange(len(lists)), [len(v) for v in lists])))
-            yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array([n for v in lists for n in v], pa.int32()), pa.array([i for v in lists for i in range(len(v))], pa.int32()), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "place", "query_id", "vec"])
+                lists = iter([[0]] * batch.num_rows)
+            for taken, own, places in _copies(batch, lists):
+                yield pa.RecordBatch.from_arrays([taken.column("dim"), pa.array(own), pa.array(places), taken.column("vec_id"), taken.column("vec")], ["dim", "list", "place", "query_id", "vec"])
 
     queries = vectors.where(F.col("vec_id") % every == 0)
     routed = materialize(queries.mapInArrow(route, "dim int, list int, place int, query_id long, vec binary"), "routes")
