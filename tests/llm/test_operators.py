@@ -385,6 +385,22 @@ def test_substring_dedup(spark, monkeypatch, chars):
     assert substring.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_substring_dedup_with_rows_in_any_order():
+    """Replies to a group are read right when its rows come back in another order."""
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randrange(60)}" for _ in range(30)) for _ in range(8)]
+    rows = [(k, " ".join([f"text{k}", *rng.sample(passages, 3)]), "s") for k in range(30)]
+    table = lambda some: pa.table({"doc_id": pa.array([d for d, *_ in some], pa.int64()), "text": [t for _, t, _ in some]})
+    halves, plain, masks = (rows[::2], rows[1::2]), [np.zeros(1 << 16, bool)] * 3, {}
+    nodes = [n for g, half in enumerate(halves) for n in substring._Group(table(half), 3, plain).nodes(g)]
+    replies = [r for p in range(3) for r in substring._grow(pa.Table.from_pylist([n for n in nodes if n["p"] == p], substring._NODES)).to_pylist()]
+    for g, half in enumerate(halves):
+        back = substring._Group(table(half[::-1]), 3, plain)
+        masks |= zip(back.raw, back.removed({r["p"]: r["bits"] for r in replies if r["g"] == g}), strict=True)
+    kept = [(d, [w for w, gone in zip(t.split(), masks[t.encode()], strict=True) if not gone]) for d, t, _ in rows]
+    assert [hashlib.sha256(" ".join(w).encode()).hexdigest() for _, w in kept] == [r[3] for r in sorted(brute_repeats(rows))]
+
+
 def test_crowded_prefixes_are_split(spark):
     """A seed that many suffixes share is dealt by longer ones; equal windows stay together."""
     rng = random.Random(6)

@@ -131,9 +131,11 @@ class _Group:
     """The suffixes of one group of documents, as runs of words."""
 
     def __init__(self, table: pa.Table, prefixes: int, crowded: list[np.ndarray]):
-        doc_ids = table.column("doc_id").to_pylist()
-        self.raw = [t.as_buffer().to_pybytes() for chunk in table.column("text").chunks for t in chunk]
-        ids = np.array([LAST if d is None else d for d in doc_ids], np.int64)
+        rows = zip(table.column("doc_id").to_pylist(), (t.as_buffer().to_pybytes() for chunk in table.column("text").chunks for t in chunk), strict=True)
+        # a group is made twice, and Spark gives its rows in another order each time: runs are numbered by this one
+        rows = sorted(rows, key=lambda r: (LAST if r[0] is None else r[0], r[1]))
+        self.doc_ids, self.raw = [d for d, _ in rows], [t for _, t in rows]
+        ids = np.array([LAST if d is None else d for d in self.doc_ids], np.int64)
         self.block = block = TextBlock(self.raw)
         self.at = at = _suffixes(block)
         self.owner = ids[block.text_of[at]]
@@ -284,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n_removed.append(gone)
             kept.append(b" ".join(compress(words, ~mask) if gone else words))
         strings = pa.array(kept, pa.binary()).cast(pa.string())
-        out = pa.table([table.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), strings, _spans(masks)], schema=schema)
+        out = pa.table([pa.array(group.doc_ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), strings, _spans(masks)], schema=schema)
         release_memory()
         return out
 
