@@ -243,6 +243,25 @@ def test_source_views_and_pushdown(spark, tmp_path):
     assert metadata.full_cue_points(read("cues"), read("adtl").where("cue_point_id = 1"), strict=False).count() == 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transcode_loss_joins_nothing(spark):
+    """A file is compared where it is coded: samples in rows of their own, broadcast to be joined, took the driver's memory."""
+    plan = plan_of(catalogue.transcode_loss(spark, SF))
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_coding_noise(spark):
+    told = [0.5, None, -0.25, 0.125]
+    content = codecs.encode_file(np.array([[0.25], [9.0], [0.5], [-0.25], [0.0], [1.0]]), "f32", "f32", 8000)
+    rows = spark.createDataFrame([(told, content), (None, content), (told, None)], "samples array<float>, content binary").coalesce(1)
+    assert tuple(waveform.coding_noise(rows).first()) == (0.328125, 0.0625 + 0.75**2 + 0.375**2)
+    assert tuple(waveform.coding_noise(rows, block=2).first()) == (0.3125, (0.5 - 9) ** 2 + 1.25**2)
+    assert waveform.coding_noise(rows.where("content IS NULL")).collect() == []
+
+
 def test_resample_and_transcode(spark):
     t = np.arange(4096) / 8000
     tone = np.sin(2 * np.pi * 500 * t)

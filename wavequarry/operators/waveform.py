@@ -83,21 +83,47 @@ def encode_frames(frames: DataFrame, codec: str, rate: int, source: str = "f32",
     return frames.select(key, "frame_idx", "samples").groupBy(key).applyInArrow(build, f"{key} {kind}, content binary, n_frames long")
 
 
+#: Frames of one record batch, and bytes of whole files held before they are sent on.
+BATCH_FRAMES, BATCH_BYTES = 1 << 16, 4 << 20
+
+
+def _decode(data: bytes, sample_type: str) -> np.ndarray:
+    """(frames, channels) of a whole file."""
+    from wavequarry.sources import riff
+
+    h = riff.from_bytes(data, metadata=False)
+    return codecs.decode(riff.sample_kind(h.fmt), data[h.data.offset : h.data.offset + h.data.size], h.fmt, sample_type)
+
+
 def decode_contents(contents: DataFrame, sample_type: str = "f32", key: str = "path") -> DataFrame:
-    """(key, frame_idx, samples) of whole files in a ``content`` column."""
+    """(key, frame_idx, samples) of whole files in a ``content`` column; a null file has no frames."""
     from wavequarry.functions.samples import SPARK_TYPES
-    from wavequarry.sources import riff
 
     kind = contents.schema[key].dataType.simpleString()
     value = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}[SPARK_TYPES[sample_type]]
 
+    def send(keys: pa.Array, rows: list[int], parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(x) for _, x in parts]
+        places = np.concatenate([np.arange(first, first + len(x)) for first, x in parts])
+        offsets = np.concatenate([[0], np.cumsum(np.repeat([x.shape[1] for _, x in parts], sizes))])
+        flat = pa.array(np.concatenate([x.reshape(-1) for _, x in parts])).cast(value)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(rows, sizes))), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [key, "frame_idx", "samples"])
+
     def run(batches):
         for batch in batches:
-            for k, raw in zip(batch.column(0), batch.column(1), strict=True):
-                data = raw.as_py()
-                h = riff.from_bytes(data, metadata=False)
-                x = codecs.decode(riff.sample_kind(h.fmt), data[h.data.offset : h.data.offset + h.data.size], h.fmt, sample_type)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(x), k.type), pa.array(range(len(x)), pa.int64()), pa.array(x.tolist(), pa.list_(value))], [key, "frame_idx", "samples"])
+            rows, parts, held = [], [], 0
+            for k, raw in enumerate(batch.column(1)):
+                x = _decode(raw.as_py(), sample_type) if raw.is_valid else np.zeros((0, 1))
+                for cut in range(0, len(x), BATCH_FRAMES):
+                    part = x[cut : cut + BATCH_FRAMES]
+                    rows.append(k)
+                    parts.append((cut, part))
+                    held += len(part)
+                    if held >= BATCH_FRAMES:
+                        yield send(batch.column(0), rows, parts)
+                        rows, parts, held = [], [], 0
+            if held:
+                yield send(batch.column(0), rows, parts)
 
     return contents.select(key, "content").mapInArrow(run, f"{key} {kind}, frame_idx long, samples array<{SPARK_TYPES[sample_type]}>")
 
@@ -108,3 +134,32 @@ def transcode(contents: DataFrame, codec: str, source_rate: int, target_rate: in
     if source_rate != target_rate:
         frames = resample(frames, source_rate, target_rate, key)
     return encode_frames(frames, codec, target_rate, "f64" if source_rate != target_rate else "f32", key)
+
+
+def coding_noise(files: DataFrame, block: int = 0) -> DataFrame:
+    """(signal, noise): sums of squares of some files' samples, and of what coding has changed of them.
+
+    Columns: ``samples``, one channel as floats, and ``content``, the file made
+    of them.  Of each ``block`` decoded frames the first is no sample and left
+    out.  A sample that is null, or has no frame, does not count.
+    """
+
+    def run(batches):
+        for batch in batches:
+            signal, noise, n = 0.0, 0.0, 0
+            for told, raw in zip(batch.column(0), batch.column(1), strict=True):
+                if not (told.is_valid and raw.is_valid):
+                    continue
+                back = _decode(raw.as_py(), "f32")[:, 0]
+                if block:
+                    back = np.delete(back, np.s_[::block])
+                x = told.values.slice(0, len(back))
+                there = x.is_valid().to_numpy(zero_copy_only=False)
+                x = x.to_numpy(zero_copy_only=False).astype(np.float64)
+                back = back[: len(x)].astype(np.float64)[there]
+                x = x[there]
+                signal, noise, n = signal + float(x @ x), noise + float(np.sum((x - back) ** 2)), n + len(x)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([signal]), pa.array([noise])], ["signal", "noise"])
+
+    return files.select("samples", "content").mapInArrow(run, "signal double, noise double")

@@ -201,14 +201,9 @@ def transcode_loss(spark, sf_dir):
     parts = []
     for codec in ("alaw", "mulaw", "ima", "ms", "yamaha", "flac"):
         content = wav.content_column(F.col("embedding"), 1, "f32", codec, 8000)
-        back = waveform.decode_contents(spread(spark, sf_dir).select("vec_id", content.alias("content")), "f32", "vec_id")
-        if codec == "ima":  # a block's first frame of 1017 is its header's sample, the state before the block
-            at = F.col("frame_idx")
-            back = back.where(at % 1017 != 0).withColumn("frame_idx", at - 1 - F.floor(at / 1017))
-        told = each(waves(spark, sf_dir), F.col("embedding"), "x", "double")
-        both = back.join(told, (back["vec_id"] == told["vec_id"]) & (F.col("frame_idx") == F.col("pos")))
-        noise = F.sum(F.pow(F.col("x") - F.col("samples")[0], 2))
-        parts.append(both.agg((10 * F.log10(F.sum(F.pow("x", F.lit(2))) / noise)).alias("snr_db")).select(F.lit(codec).alias("codec"), F.round("snr_db", 2).alias("snr_db")))
+        # a block's first frame of IMA is its header's sample, the state before the block
+        sums = waveform.coding_noise(spread(spark, sf_dir).select(F.col("embedding").alias("samples"), content.alias("content")), 1017 if codec == "ima" else 0)
+        parts.append(sums.agg((10 * F.log10(F.sum("signal") / F.sum("noise"))).alias("snr_db")).select(F.lit(codec).alias("codec"), F.round("snr_db", 2).alias("snr_db")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
