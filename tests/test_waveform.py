@@ -262,6 +262,18 @@ def test_coding_noise(spark):
     assert waveform.coding_noise(rows.where("content IS NULL")).collect() == []
 
 
+def test_transcode_file_by_file(spark):
+    """No file's frames are dealt out and gathered again: rows come out as by decoding, resampling and encoding in turn."""
+    rng = np.random.default_rng(4)
+    files = [(k, codecs.encode_file(rng.uniform(-0.9, 0.9, (n, 2)), "f64", "f32", 8000)) for k, n in enumerate([1, 64, 8191, 20000])]
+    contents = spark.createDataFrame([*files, (9, None)], "path long, content binary").coalesce(1)
+    out = waveform.transcode(contents, "i16", 8000, 16000)
+    assert "Aggregate" not in plan_of(out) and "FlatMapGroups" not in plan_of(out)
+    chain = waveform.encode_frames(waveform.resample(waveform.decode_contents(contents), 8000, 16000), "i16", 16000, "f64")
+    assert sorted(map(tuple, out.where("content IS NOT NULL").collect())) == sorted(map(tuple, chain.collect()))
+    assert out.where("content IS NULL").count() == 1
+
+
 def test_resample_and_transcode(spark):
     t = np.arange(4096) / 8000
     tone = np.sin(2 * np.pi * 500 * t)

@@ -129,11 +129,35 @@ def decode_contents(contents: DataFrame, sample_type: str = "f32", key: str = "p
 
 
 def transcode(contents: DataFrame, codec: str, source_rate: int, target_rate: int, key: str = "path") -> DataFrame:
-    """Files decoded, resampled block by block and encoded again."""
-    frames = decode_contents(contents, "f32", key)
-    if source_rate != target_rate:
-        frames = resample(frames, source_rate, target_rate, key)
-    return encode_frames(frames, codec, target_rate, "f64" if source_rate != target_rate else "f32", key)
+    """(key, content, n_frames): files decoded, resampled block by block and encoded again, each where it is; a null file stays null."""
+    kind = contents.schema[key].dataType.simpleString()
+    size = max(1, next_fft_size(source_rate, target_rate) * source_rate // max(source_rate, target_rate))
+    source = "f64" if source_rate != target_rate else "f32"
+
+    def send(keys: pa.Array, rows: list[int], files: list[bytes | None], counts: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(files, pa.binary()), pa.array(counts, pa.int64())], [key, "content", "n_frames"])
+
+    def run(batches):
+        for batch in batches:
+            rows, files, counts, held = [], [], [], 0
+            for k, raw in enumerate(batch.column(1)):
+                content, n = None, None
+                if raw.is_valid:
+                    x = _decode(raw.as_py(), "f32")
+                    if source_rate != target_rate and len(x):
+                        x = np.concatenate([resample_block(x[at : at + size].astype(np.float64), source_rate, target_rate) for at in range(0, len(x), size)])
+                    content, n = codecs.encode_file(x, source, codec, target_rate), len(x)
+                rows.append(k)
+                files.append(content)
+                counts.append(n)
+                held += len(content or b"")
+                if held >= BATCH_BYTES or len(rows) >= 1 << 10:
+                    yield send(batch.column(0), rows, files, counts)
+                    rows, files, counts, held = [], [], [], 0
+            if rows:
+                yield send(batch.column(0), rows, files, counts)
+
+    return contents.select(key, "content").mapInArrow(run, f"{key} {kind}, content binary, n_frames long")
 
 
 def coding_noise(files: DataFrame, block: int = 0) -> DataFrame:
