@@ -243,6 +243,31 @@ def test_source_views_and_pushdown(spark, tmp_path):
     assert metadata.full_cue_points(read("cues"), read("adtl").where("cue_point_id = 1"), strict=False).count() == 1
 
 
+def test_ms_fill_is_coded_once(monkeypatch):
+    """What fills a block up costs the steps until the state comes back, not one for each of 2036 samples; all steps give the same."""
+    steps, move = [], adpcm.Ms._move
+    monkeypatch.setattr(adpcm.Ms, "_move", lambda *a: (steps.append(1), move(*a))[1])
+    rng = np.random.default_rng(8)
+    for channels in (1, 2):
+        for n in (1, 2, 3, 64, 2100):
+            x = rng.integers(-20000, 20000, (n, channels)).tolist()
+            steps.clear()
+            data = adpcm.encode_ms(x, channels)
+            back = adpcm.ms_frames(data, channels, 1024 * channels)
+            assert len(steps) < 2 * channels * (n + 400)
+            states, nibbles = [adpcm.Ms() for _ in range(channels)], []
+            for at in range(0, n, 2036):
+                part = x[at : at + 2036] + [x[-1]] * (2036 - len(x[at : at + 2036]))
+                for c, s in enumerate(states):
+                    s.s2, s.s1 = part[0][c], part[1][c]
+                plain = [adpcm.Ms(0, s.d, s.s1, s.s2) for s in states]
+                block = [part[0], part[1]]
+                for f in part[2:]:
+                    nibbles = [s.compress(v) for s, v in zip(states, f, strict=True)]
+                    block.append([p.expand(k) for p, k in zip(plain, nibbles, strict=True)])
+                assert back[at : at + 2036].tolist() == block
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
