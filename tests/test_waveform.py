@@ -268,6 +268,27 @@ def test_ms_fill_is_coded_once(monkeypatch):
                 assert back[at : at + 2036].tolist() == block
 
 
+@pytest.mark.parametrize("codec", ["u8", "i24", "alaw", "ima", "ms", "yamaha", "flac"])
+@pytest.mark.parametrize("channels", [1, 2])
+def test_frames_behind_a_filter_are_not_decoded(tmp_path, codec, channels, monkeypatch):
+    x = np.random.default_rng(2).uniform(-0.8, 0.8, (2100, channels))
+    (tmp_path / "a.wav").write_bytes(codecs.encode_file(x, "f64", codec, 8000))
+
+    def read(least, past):
+        reader = wav.WavReader({"path": str(tmp_path), "sampletype": "i16"}, None)
+        reader.least, reader.past = least, past
+        rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+        return [(r["frame_idx"], r["samples"]) for r in rows]
+
+    every = read(0, 1 << 62)
+    sizes, decode = [], codecs.decode
+    monkeypatch.setattr(codecs, "decode", lambda *a: (sizes.append(len(decode(*a))), decode(*a))[1])
+    for least, past in [(0, 1), (0, 2), (0, 3), (17, 18), (5, 64), (1016, 1018), (2036, 2038), (2099, 2100)]:
+        sizes.clear()
+        assert read(least, past) == every[least:past]
+        assert codec == "flac" or past > 1000 or sum(sizes) <= past + 8
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -265,7 +265,9 @@ class WavReader(DataSourceReader):
             held = BLOCK_FRAMES if per_block == 1 else per_block
             if first >= self.past or (held and first + held <= self.least):
                 continue
-            x = codecs.decode(kind, fetch(at, n), h.fmt, target)
+            # what stands behind the last frame asked for is neither read nor decoded
+            few = codecs.leading_bytes(kind, h.fmt, self.past - first)
+            x = codecs.decode(kind, fetch(at, n if few is None else min(n, few)), h.fmt, target)
             begin, end = max(0, self.least - first), min(len(x), self.past - first)
             for cut in range(begin, end, 1 << 16):
                 part = x[cut : min(end, cut + (1 << 16))]
