@@ -289,6 +289,45 @@ def test_frames_behind_a_filter_are_not_decoded(tmp_path, codec, channels, monke
         assert codec == "flac" or past > 1000 or sum(sizes) <= past + 8
 
 
+def test_cue_points_write_their_files_once(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(files, "scratch", lambda spark: folders.append(catalogue.scratch(spark)) or folders[-1])
+    assert catalogue.QUERIES["cue_points_of_files"](spark, SF).count() == 1000
+    assert len(folders) == 1
+
+
+def test_commit_moves_files_in_runs(tmp_path, monkeypatch):
+    """A thread moves a run of files: 16 threads that took one each waited for each other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    taken, submit = [], ThreadPoolExecutor.submit
+    monkeypatch.setattr(ThreadPoolExecutor, "submit", lambda *a: (taken.append(1), submit(*a))[1])
+    for overwrite in (False, True):
+        writer = wav.WavWriter({"path": str(tmp_path)}, overwrite)
+        n = 1100 - 100 * overwrite
+        message = writer.write({"path": f"{k % 3}/{k}.wav", "content": b"%d" % k} for k in range(n))
+        writer.commit([message, None])
+        assert {p.name: p.read_bytes() for p in tmp_path.rglob("*.wav")} == {f"{k}.wav": b"%d" % k for k in range(n)}
+        assert not list(tmp_path.glob(".job-*"))
+    assert len(taken) == 3 + 2 + 3
+
+
+@pytest.mark.parametrize("view", ["frames", "mono", "stereo"])
+def test_frames_of_small_files_share_a_batch(tmp_path, view):
+    rng, told = np.random.default_rng(3), {}
+    for k in range(40):
+        told[f"{k}.wav"] = rng.integers(-30000, 30000, (1 + k * 100, 1 + k % 2))
+        (tmp_path / f"{k}.wav").write_bytes(codecs.encode_file(told[f"{k}.wav"], "i16", "i16", 8000))
+    (tmp_path / "none.wav").write_bytes(codecs.encode_file(np.zeros((0, 1), np.int64), "i16", "i16", 8000))
+    (tmp_path / "noise.wav").write_bytes(b"noise")
+    reader = wav.WavReader({"path": str(tmp_path), "view": view, "sampletype": "i16"}, None)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) == 2
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    shown = {"frames": lambda x: [(v,) for v in x.tolist()], "mono": lambda x: [(v,) for v in np.trunc(x.mean(axis=1)).astype(int).tolist()], "stereo": lambda x: [(v[0], v[-1]) for v in x.tolist()]}[view]
+    assert sorted(rows, key=repr) == sorted(((f"{tmp_path}/{name}", k, *v) for name, x in told.items() for k, v in enumerate(shown(x))), key=repr)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -36,6 +36,10 @@ from . import codecs, flac, riff
 
 SPLIT_BYTES = 64 << 20
 BLOCK_FRAMES = 4096
+#: Frames of a record batch, about.
+BATCH_FRAMES = 1 << 16
+#: Files that a thread of a commit moves or deletes in turn: threads that take them one by one wait for each other.
+COMMIT_FILES = 512
 _LOOPS = "array<struct<identifier:bigint,type:bigint,start:bigint,end:bigint,fraction:bigint,play_count:bigint>>"
 VIEWS = {
     "files": (
@@ -158,7 +162,36 @@ class WavReader(DataSourceReader):
                 held, size = [], 0
         return out + [WavSplit(held)] if held or not out else out
 
-    def read(self, partition: WavSplit) -> Iterator[tuple]:
+    def read(self, partition: WavSplit) -> Iterator[tuple | pa.RecordBatch]:
+        rows = self._rows(partition)
+        return self._batches(rows) if self.view in FRAME_VIEWS else rows
+
+    def _batches(self, parts: Iterator[tuple[str, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Parts of small files put together, as each batch costs more than their frames do."""
+        held, n = [], 0
+        for part in parts:
+            held.append(part)
+            n += len(part[2])
+            if n >= BATCH_FRAMES:
+                yield self._batch(held)
+                held, n = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, parts: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+        target, sizes = self.options.get("sampletype", "f32"), [len(x) for *_, x in parts]
+        places = np.arange(sum(sizes)) + np.repeat(np.array([first for _, first, _ in parts]) - np.cumsum([0, *sizes[:-1]]), sizes)
+        paths = pa.array([path for path, *_ in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+        if self.view == "frames":
+            offsets = np.concatenate([[0], np.cumsum(np.repeat([x.shape[1] for *_, x in parts], sizes))])
+            values = _samples(np.concatenate([x.reshape(-1) for *_, x in parts]), target)
+            columns = {"samples": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)}
+        else:
+            both = np.concatenate([x for *_, x in parts])
+            columns = {name: _samples(both[:, k], target) for k, name in enumerate(["sample"] if self.view == "mono" else ["l", "r"])}
+        return pa.RecordBatch.from_pydict({"path": paths, "frame_idx": pa.array(places, pa.int64()), **columns})
+
+    def _rows(self, partition: WavSplit) -> Iterator[tuple]:
         mode = self.options.get("mode", "PERMISSIVE").upper()
         for path, length in partition.files:
             fs, local = _filesystem(path)
@@ -258,7 +291,7 @@ class WavReader(DataSourceReader):
                 yield path, b, first, flac.stream_info(payload)["frames"] if kind == "flac" else codecs.total_frames(kind, h.fmt, n), payload
 
     def _frames(self, path, length, h, fetch, split):
-        """Record batches of frames, one for each part that decodes by itself."""
+        """(path, first frame, values by frame) of parts of up to ``BATCH_FRAMES`` frames."""
         target, kind = self.options.get("sampletype", "f32"), riff.sample_kind(h.fmt)
         _, per_block = codecs.block_bytes_and_frames(kind, h.fmt)
         for _, first, at, n in self._spans(h, split):
@@ -269,22 +302,27 @@ class WavReader(DataSourceReader):
             few = codecs.leading_bytes(kind, h.fmt, self.past - first)
             x = codecs.decode(kind, fetch(at, n if few is None else min(n, few)), h.fmt, target)
             begin, end = max(0, self.least - first), min(len(x), self.past - first)
-            for cut in range(begin, end, 1 << 16):
-                part = x[cut : min(end, cut + (1 << 16))]
+            for cut in range(begin, end, BATCH_FRAMES):
+                part = x[cut : min(end, cut + BATCH_FRAMES)]
                 if self.view == "mono":
-                    columns = {"sample": _samples(mono(part, target), target)}
+                    part = mono(part, target).reshape(-1, 1)
                 elif self.view == "stereo":
-                    both = stereo(part, target, h.fmt["channel_mask"])
-                    columns = {"l": _samples(both[:, 0], target), "r": _samples(both[:, 1], target)}
-                else:
-                    offsets = pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32())
-                    columns = {"samples": pa.ListArray.from_arrays(offsets, _samples(part.reshape(-1), target))}
-                frames = pa.array(np.arange(first + cut, first + cut + len(part)), pa.int64())
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(part), pa.string()), "frame_idx": frames, **columns})
+                    part = stereo(part, target, h.fmt["channel_mask"])
+                yield path, first + cut, part
 
     _mono = _stereo = _frames
 
 
+def _in_turn(pool: ThreadPoolExecutor, act: Callable, items: list) -> None:
+    """``act`` on every item, each thread on a run of them."""
+
+    def run(begin: int) -> None:
+        for item in items[begin : begin + COMMIT_FILES]:
+            act(item)
+
+    list(pool.map(run, range(0, len(items), COMMIT_FILES)))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
@@ -315,10 +353,10 @@ class WavWriter(DataSourceWriter):
         with ThreadPoolExecutor(16) as pool:
             if self.overwrite and fs.get_file_info(local).type == pafs.FileType.Directory:
                 found = fs.get_file_info(pafs.FileSelector(local, recursive=True))
-                list(pool.map(fs.delete_file, [f.path for f in found if f.type == pafs.FileType.File and f"/{self.job}/" not in f.path]))
+                _in_turn(pool, fs.delete_file, [f.path for f in found if f.type == pafs.FileType.File and f"/{self.job}/" not in f.path])
             for folder in sorted({target.rpartition("/")[0] for _, target in moves}):
                 fs.create_dir(folder, recursive=True)
-            list(pool.map(lambda m: fs.move(*m), moves))
+            _in_turn(pool, lambda m: fs.move(*m), moves)
         self._clear(fs, local)
 
     def abort(self, messages: list[Written | None]) -> None:
