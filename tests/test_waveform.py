@@ -296,6 +296,14 @@ def test_cue_points_write_their_files_once(spark, monkeypatch):
     assert len(folders) == 1
 
 
+@pytest.mark.parametrize("name", ["adpcm_files", "ms_files", "flac_roundtrip", "pcm_roundtrip_i16"])
+def test_ids_are_read_once_for_a_file(spark, name):
+    """An expression over the path of each of a file's frames took longer than reading them."""
+    plan = plan_of(catalogue.QUERIES[name](spark, SF)).splitlines()
+    groups = [line for line in plan if "Aggregate" in line]
+    assert groups and not any("vec_id" in line.split("Aggregate [")[1].split("]")[0] for line in groups)
+
+
 def test_commit_moves_files_in_runs(tmp_path, monkeypatch):
     """A thread moves a run of files: 16 threads that took one each waited for each other."""
     from concurrent.futures import ThreadPoolExecutor

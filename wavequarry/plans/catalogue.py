@@ -119,16 +119,28 @@ def _stored(spark: SparkSession, sf_dir: str, codec: str, channels: int = 1) ->
     return folder
 
 
+def _load(spark: SparkSession, folder: str, view: str, **options) -> DataFrame:
+    return spark.read.format("wav").option("view", view).options(**options).load(folder)
+
+
+def _id() -> Column:
+    return F.regexp_extract("path", r"(-?\d+)\.wav$", 1).cast("long").alias("vec_id")
+
+
 def _read(spark: SparkSession, folder: str, view: str, **options) -> DataFrame:
-    df = spark.read.format("wav").option("view", view).options(**options).load(folder)
-    return df.withColumn("vec_id", F.regexp_extract("path", r"(-?\d+)\.wav$", 1).cast("long"))
+    return _load(spark, folder, view, **options).select("*", _id())
+
+
+def by_file(frames: DataFrame, **values: Column) -> DataFrame:
+    """Aggregates of each file: its id is read from the path once, not for every frame."""
+    return frames.groupBy("path").agg(*[v.alias(k) for k, v in values.items()]).select(_id(), *values)
 
 
 def _roundtrip(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = _read(spark, _stored(spark, sf_dir, kind), "frames", sampletype=kind)
+        frames = _load(spark, _stored(spark, sf_dir, kind), "frames", sampletype=kind)
         value = F.col("samples")[0].cast("double" if kind[0] == "f" else "long")
-        return frames.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(F.round(value * (1e6 if kind[0] == "f" else 1)).cast("long")).alias("total"))
+        return by_file(frames, n=F.count(F.lit(1)), low=F.min(value), high=F.max(value), total=F.sum(F.round(value * (1e6 if kind[0] == "f" else 1)).cast("long")))
 
     return run
 
@@ -175,14 +187,15 @@ def frame_slice(spark, sf_dir):
 @query("WITH src AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE), 1.0), -1.0) * 2147483647) AS BIGINT) >> 16) AS xs FROM embeddings) SELECT vec_id, CAST(64 AS BIGINT) AS n, CAST(list_sum(xs) * 65536 AS BIGINT) AS total FROM src")
 def flac_roundtrip(spark, sf_dir):
     """FLAC files of 16 bits read back in the 32-bit range."""
-    frames = _read(spark, _stored(spark, sf_dir, "flac"), "frames", sampletype="i32")
-    return frames.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("samples")[0].cast("long")).alias("total"))
+    frames = _load(spark, _stored(spark, sf_dir, "flac"), "frames", sampletype="i32")
+    return by_file(frames, n=F.count(F.lit(1)), total=F.sum(F.col("samples")[0].cast("long")))
 
 
 @query()
 def adpcm_files(spark, sf_dir):
     """IMA, MS and Yamaha files read back: frames by codec and file."""
-    parts = [_read(spark, _stored(spark, sf_dir, c), "frames", sampletype="i16").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("samples")[0].cast("long")).alias("total")).withColumn("codec", F.lit(c)) for c in ("ima", "ms", "yamaha")]
+    value = F.col("samples")[0].cast("long")
+    parts = [by_file(_load(spark, _stored(spark, sf_dir, c), "frames", sampletype="i16"), n=F.count(F.lit(1)), total=F.sum(value)).withColumn("codec", F.lit(c)) for c in ("ima", "ms", "yamaha")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -14,7 +14,7 @@ from wavequarry.operators import metadata
 from wavequarry.sources import riff, wav
 
 from . import catalogue
-from .catalogue import _I16, _SRC, _fold_sql, _read, query, scratch, spread, table, waves
+from .catalogue import _I16, _SRC, _fold_sql, _read, by_file, query, scratch, spread, table, waves
 
 def _v() -> Column:
     return F.col("vec_id")
@@ -75,13 +75,18 @@ def _id3() -> Column:
     return F.concat(F.lit("ID3").cast("binary"), F.unhex(F.lit("040000000000")), F.unhex(F.lpad(F.hex(F.octet_length(body)), 2, "0")), body)
 
 
-def _tagged(spark, sf_dir, view: str, **options) -> DataFrame:
-    """A view of the files of all waveforms with their metadata."""
+def _tagged_folder(spark, sf_dir) -> str:
+    """The folder of the files of all waveforms with their metadata."""
     wav.register(spark)
     folder = scratch(spark)
     content = wav.content_column(F.col("embedding"), 1, "f32", "i16", 8000, meta=_meta(), riff_mode="allow")
     spread(spark, sf_dir).select(F.concat(_v().cast("string"), F.lit(".wav")).alias("path"), content.alias("content")).write.format("wav").mode("append").save(folder)
-    return _read(spark, folder, view, **options)
+    return folder
+
+
+def _tagged(spark, sf_dir, view: str, **options) -> DataFrame:
+    """A view of the files of all waveforms with their metadata."""
+    return _read(spark, _tagged_folder(spark, sf_dir), view, **options)
 
 
 # ---- metadata chunks ----
@@ -173,8 +178,8 @@ def chunk_order(spark, sf_dir):
 @query("SELECT vec_id, CAST(1 AS BIGINT) AS cue_point_id, '' AS label, 'note ' || vec_id AS note, '' AS text_data, vec_id % 64 AS start_sample, vec_id % 9 + 1 AS num_samples, CAST(2 AS BIGINT) AS repeats FROM embeddings UNION ALL SELECT vec_id, 2, '', '', '', 7, 0, 0 FROM embeddings")
 def cue_points_of_files(spark, sf_dir):
     """Cue points of files joined with their last text and playlist entries."""
-    wav.register(spark)
-    views = {v: _tagged(spark, sf_dir, v).withColumn("path", F.col("vec_id").cast("string")).drop("vec_id") for v in ("cues", "adtl", "plst")}
+    folder = _tagged_folder(spark, sf_dir)
+    views = {v: _read(spark, folder, v).withColumn("path", F.col("vec_id").cast("string")).drop("vec_id") for v in ("cues", "adtl", "plst")}
     full = metadata.full_cue_points(views["cues"], views["adtl"], views["plst"])
     return full.select(F.col("path").cast("long").alias("vec_id"), "cue_point_id", "label", "note", "text_data", "start_sample", "num_samples", "repeats")
 
@@ -272,7 +277,7 @@ _DECODED = "SELECT vec_id, count(*) AS n, CAST(sum(sample) AS BIGINT) AS total,
 def _coded(spark, sf_dir, codec: str, skip: int = 0) -> DataFrame:
     frames = _files(spark, sf_dir, codec, "mono", read={"sampletype": "i16"}).where((F.col("frame_idx") >= skip) & (F.col("frame_idx") < skip + 64))
     value, pos = F.col("sample").cast("long"), F.col("frame_idx") - skip
-    return frames.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.sum(value * (pos % 7 + 1)).alias("weighted"))
+    return by_file(frames, n=F.count(F.lit(1)), total=F.sum(value), weighted=F.sum(value * (pos % 7 + 1)))
 
 
 def _coded_query(codec: str, skip: int):
