@@ -36,8 +36,8 @@ from . import codecs, flac, riff
 
 SPLIT_BYTES = 64 << 20
 BLOCK_FRAMES = 4096
-#: Frames of a record batch, about.
-BATCH_FRAMES = 1 << 16
+#: Frames of a record batch, about, and rows or bytes of one at other grains.
+BATCH_FRAMES, BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 10, 4 << 20
 #: Files that a thread of a commit moves or deletes in turn: threads that take them one by one wait for each other.
 COMMIT_FILES = 512
 _LOOPS = "array<struct<identifier:bigint,type:bigint,start:bigint,end:bigint,fraction:bigint,play_count:bigint>>"
@@ -103,6 +103,13 @@ def _samples(x: np.ndarray, target: str) -> pa.Array:
     kind = ARROW_TYPES[SPARK_TYPES[target]]
     return pa.array(x.tolist(), kind) if target == "u64" else pa.array(np.ascontiguousarray(x), pa.from_numpy_dtype(x.dtype)).cast(kind)
 
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_map(kind):
+        values = [None if v is None else list(v.items()) for v in values]
+    return pa.array(values, kind)
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -162,9 +169,28 @@ class WavReader(DataSourceReader):
                 held, size = [], 0
         return out + [WavSplit(held)] if held or not out else out
 
-    def read(self, partition: WavSplit) -> Iterator[tuple | pa.RecordBatch]:
+    def read(self, partition: WavSplit) -> Iterator[pa.RecordBatch]:
         rows = self._rows(partition)
-        return self._batches(rows) if self.view in FRAME_VIEWS else rows
+        return self._batches(rows) if self.view in FRAME_VIEWS else self._row_batches(rows)
+
+    def _row_batches(self, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """Rows by column, which takes Arrow less than Spark's conversion of each value."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_column(values, field.type) for values, field in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+        for row in rows:
+            held.append(row)
+            size += sum(len(v) for v in row if isinstance(v, bytes | str))
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield send()
+                held, size = [], 0
+        if held:
+            yield send()
 
     def _batches(self, parts: Iterator[tuple[str, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """Parts of small files put together, as each batch costs more than their frames do."""
